@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnkit.llm import near_dedup
+from cairnkit.llm import mixing, near_dedup, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,15 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
-ORACLES: dict[str, str] = {}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed order of all documents' token blocks."""
+    return mixing.plan(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every document with each policy's decision."""
+    return quality_rules.decide(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op5_quality_rules": op5_quality_rules}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.plan_sql(), "op5_quality_rules": quality_rules.ledger_sql()}
