@@ -3,7 +3,7 @@
 A word is a maximal run of ASCII letters and digits and of characters beyond ASCII; each
 character from U+3000 to U+DFFF (kana, Han, Hangul) is a word of its own, as those scripts
 don't put spaces between words. ASCII and Latin-1 capitals are folded. Offsets are bytes
-of the UTF-8 text.
+of the UTF-8 text, or characters where asked for.
 """
 
 from __future__ import annotations
@@ -59,11 +59,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def blocks(texts: pa.Array, lines: bool = False) -> Iterator[Words]:
+def blocks(texts: pa.Array, spans: bool = False) -> Iterator[Words]:
     """Words of runs of whole rows of about BLOCK_BYTES; a null has no words.
 
-    begin and end are byte offsets within the row's text. With lines, newline tells which
-    words are the first of their line.
+    begin and end are byte offsets within the row's text. With spans they are character
+    offsets, and newline tells which words are the first of their line.
     """
     texts = texts.cast(pa.large_string())
     n = len(texts)
@@ -77,11 +77,11 @@ def blocks(texts: pa.Array, lines: bool = False) -> Iterator[Words]:
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, side="right")) - 1)
         last = min(last, n)
-        yield _block(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first, None if valid is None else valid[first:last], lines)
+        yield _block(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first, None if valid is None else valid[first:last], spans)
         first = last
 
 
-def _block(raw: np.ndarray, offsets: np.ndarray, first: int, valid: np.ndarray | None, lines: bool) -> Words:
+def _block(raw: np.ndarray, offsets: np.ndarray, first: int, valid: np.ndarray | None, spans: bool) -> Words:
     rows = len(offsets) - 1
     inside = _WORD[raw]
     if valid is not None and not valid.all():
@@ -101,7 +101,7 @@ def _block(raw: np.ndarray, offsets: np.ndarray, first: int, valid: np.ndarray |
     begin = np.flatnonzero(opens)
     if len(begin) == 0:
         none = np.zeros(0, np.int64)
-        return Words(first, rows, np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), none, none, np.zeros(0, bool) if lines else None)
+        return Words(first, rows, np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), none, none, np.zeros(0, bool) if spans else None)
     starts_in = np.flatnonzero(opens[at])
     power, inverse = _power(len(at) + 1)
     terms = folded[at].astype(np.uint64)
@@ -112,16 +112,17 @@ def _block(raw: np.ndarray, offsets: np.ndarray, first: int, valid: np.ndarray |
     mix(hashes)
     lengths = np.diff(np.append(starts_in, len(at)))
     starts = np.searchsorted(begin, offsets)
-    newline = None
-    if lines:
-        count = np.cumsum(raw == 10)
-        line = count[begin]
-        newline = np.empty(len(begin), dtype=bool)
-        newline[0] = True
-        newline[1:] = line[1:] != line[:-1]
-        newline[starts[:-1][starts[:-1] < len(begin)]] = True
-    base = np.repeat(offsets[:-1], np.diff(starts))
-    return Words(first, rows, hashes, starts, begin - base, begin - base + lengths, newline)
+    owner = np.repeat(np.arange(rows), np.diff(starts))
+    if not spans:
+        begin = begin - offsets[:-1][owner]
+        return Words(first, rows, hashes, starts, begin, begin + lengths, None)
+    line = np.cumsum(raw == 10)[begin]
+    newline = np.ones(len(begin), dtype=bool)
+    newline[1:] = line[1:] != line[:-1]
+    newline[starts[:-1][starts[:-1] < len(begin)]] = True
+    before = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    base = before[offsets[:-1]][owner]
+    return Words(first, rows, hashes, starts, before[begin] - base, before[begin + lengths] - base, newline)
 
 
 def shingles(hashes: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

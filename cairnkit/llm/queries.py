@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnkit.llm import mixing, near_dedup, packing, quality_rules
+from cairnkit.llm import mixing, near_dedup, packing, quality_rules, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.decide(quality_rules.ledger(_table(spark, sf_dir, "documents")))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of every document that repeats an earlier paragraph or passage."""
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies in the packed sequences."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op5_quality_rules": op5_quality_rules, "op9_packing": op9_packing}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op5_quality_rules": op5_quality_rules, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.plan_sql(), "op5_quality_rules": quality_rules.ledger_sql()}
