@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnkit.llm import mixing, near_dedup, packing, quality_rules, substring_dedup
+from cairnkit.llm import mixing, near_dedup, orc_tokens, packing, quality_rules, substring_dedup, token_counts
+from cairnkit.llm._util import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens) of every document."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document with each policy's decision."""
     return quality_rules.decide(quality_rules.ledger(_table(spark, sf_dir, "documents")))
@@ -36,5 +44,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op5_quality_rules": op5_quality_rules, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing}
+def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document, written to ORC in the shared folder and read back."""
+    path = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
+    orc_tokens.write(_table(spark, sf_dir, "documents"), path)
+    return orc_tokens.read(spark, path)
+
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op5_quality_rules": op5_quality_rules, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_orc_tokens": op10_orc_tokens}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.plan_sql(), "op5_quality_rules": quality_rules.ledger_sql()}
