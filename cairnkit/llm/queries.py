@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnkit.llm import mixing, near_dedup, orc_tokens, packing, quality_rules, substring_dedup, token_counts
+from cairnkit.llm import mixing, near_dedup, orc_tokens, packing, quality_rules, ring_sharding, substring_dedup, token_counts, warc_audit
 from cairnkit.llm._util import shared_folder
 
 
@@ -29,11 +29,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an audit finds between the records of all pages and those of a damaged replica."""
+    pages = _table(spark, sf_dir, "pages")
+    return warc_audit.audit(warc_audit.leaves(pages), warc_audit.leaves(warc_audit.damaged(pages)))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document with each policy's decision."""
     return quality_rules.decide(quality_rules.ledger(_table(spark, sf_dir, "documents")))
 
 
+def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return ring_sharding.assign(_table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span of every document that repeats an earlier paragraph or passage."""
     return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
@@ -51,5 +62,5 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.read(spark, path)
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op5_quality_rules": op5_quality_rules, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_orc_tokens": op10_orc_tokens}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.plan_sql(), "op5_quality_rules": quality_rules.ledger_sql()}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op4_warc_merkle": op4_warc_merkle, "op5_quality_rules": op5_quality_rules, "op6_ring_sharding": op6_ring_sharding, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_orc_tokens": op10_orc_tokens}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.plan_sql(), "op4_warc_merkle": warc_audit.audit_sql(), "op5_quality_rules": quality_rules.ledger_sql()}
