@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairnkit.llm import mixing, near_dedup, orc_tokens, packing, quality_rules, ring_sharding, substring_dedup, token_counts, warc_audit
+from cairnkit.llm import mixing, near_dedup, orc_tokens, packing, pivot_topk, quality_rules, ring_sharding, substring_dedup, token_counts, warc_audit
 from cairnkit.llm._util import shared_folder
 
 
@@ -45,6 +46,11 @@ def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours of every embedding, distances to six places."""
+    return pivot_topk.top_k(_table(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 6))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span of every document that repeats an earlier paragraph or passage."""
     return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
@@ -62,5 +68,5 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.read(spark, path)
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op4_warc_merkle": op4_warc_merkle, "op5_quality_rules": op5_quality_rules, "op6_ring_sharding": op6_ring_sharding, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_orc_tokens": op10_orc_tokens}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.plan_sql(), "op4_warc_merkle": warc_audit.audit_sql(), "op5_quality_rules": quality_rules.ledger_sql()}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op4_warc_merkle": op4_warc_merkle, "op5_quality_rules": op5_quality_rules, "op6_ring_sharding": op6_ring_sharding, "op7_pivot_topk": op7_pivot_topk, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_orc_tokens": op10_orc_tokens}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.plan_sql(), "op4_warc_merkle": warc_audit.audit_sql(), "op7_pivot_topk": pivot_topk.top_k_sql(), "op5_quality_rules": quality_rules.ledger_sql()}
