@@ -117,7 +117,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, led by underscores until no column of df is called so in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is among ids (one bigint column, cut beforehand)."""
-    gone = small(ids.select(F.col(ids.columns[0]).alias("__gone")))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    name = fresh(docs, "gone")
+    gone = small(ids.select(F.col(ids.columns[0]).alias(name)))
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

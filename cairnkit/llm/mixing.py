@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnkit.llm._util import cut, small
+from cairnkit.llm._util import cut, fresh, small
 
 BLOCK_TOKENS = 8192
 ALPHA = 0.7
@@ -126,13 +126,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     source, null ones too, come as often as those rows do on average, rounded up.
     """
     order = plan(docs, **options)
-    times = order.where("from_token = 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.ceil(F.count("*") / F.count_if(F.col("epoch") == 0)).cast("int").alias("__times"))
+    name, source, count, turn = (fresh(docs, c) for c in ("id", "from_source", "times", "turn"))
+    times = order.where("from_token = 0").groupBy(F.col("doc_id").alias(name), F.col("source").alias(source)).agg(F.ceil(F.count("*") / F.count_if(F.col("epoch") == 0)).cast("int").alias(count))
     if options.get("weights") is not None:
         docs = docs.where(docs["source"].isin(list(options["weights"])))
     times = small(cut(times))
-    joined = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(times["__id"]) & docs["source"].cast("string").eqNullSafe(times["__source"]), "left")
-    again = F.explode(F.sequence(F.lit(1), F.coalesce(F.col("__times"), F.lit(1)))).alias("__k")
-    return joined.select(*[docs[c] for c in docs.columns], again).drop("__k")
+    joined = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(times[name]) & docs["source"].cast("string").eqNullSafe(times[source]), "left")
+    again = F.explode(F.sequence(F.lit(1), F.coalesce(times[count], F.lit(1)))).alias(turn)
+    return joined.select(*[docs[c] for c in docs.columns], again).drop(turn)
 
 
 def plan_sql(block_tokens: int = BLOCK_TOKENS, alpha: float = ALPHA, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:

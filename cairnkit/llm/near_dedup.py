@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnkit.llm import _words, superminhash
-from cairnkit.llm._util import by_key, cut, int64s, linked, mix, signed, without
+from cairnkit.llm._util import by_key, cut, fresh, int64s, linked, mix, signed, without
 from cairnkit.llm.components import components
 
 SHINGLE = 3
@@ -128,11 +128,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     groups = cut(near_duplicates(docs, **options))
     kept = without(docs, groups.where("doc_id <> group_id").select("doc_id"))
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    name, row = fresh(docs, "id"), fresh(docs, "row")
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name)
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept["doc_id"] == again["__id"], "left_anti")
-    twice = kept.join(again, kept["doc_id"] == again["__id"], "left_semi")
+    once = kept.join(again, kept["doc_id"] == again[name], "left_anti")
+    twice = kept.join(again, kept["doc_id"] == again[name], "left_semi")
     whole = F.struct(*[twice[c] for c in docs.columns])
-    ranked = twice.groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
-    return once.unionByName(ranked.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
+    ranked = twice.groupBy(F.col("doc_id").alias(name)).agg(F.min_by(whole, F.to_json(whole)).alias(row))
+    return once.unionByName(ranked.select(*[F.col(row).getField(c).alias(c) for c in docs.columns]))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnkit.llm import _words, superminhash
-from cairnkit.llm._util import by_key, cut, int64s, linked, mix, signed, small
+from cairnkit.llm._util import by_key, cut, fresh, int64s, linked, mix, signed, small
 from cairnkit.llm.components import components
 from cairnkit.llm.near_dedup import collisions
 
@@ -197,8 +197,9 @@ def strip(docs: DataFrame, **options) -> DataFrame:
     null doc_ids, null and empty texts come back as they were. n_chars, where there is such a
     column, is set to the new length of a text that was cut.
     """
-    spans = cut(repeats(docs, **options).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("__spans")).withColumnRenamed("doc_id", "__id"))
-    joined = docs.join(small(spans), docs["doc_id"].cast("long") == F.col("__id"), "left").select(*[docs[c] for c in docs.columns], "__spans")
+    name, found = fresh(docs, "id"), fresh(docs, "spans")
+    spans = small(cut(repeats(docs, **options).groupBy(F.col("doc_id").alias(name)).agg(F.collect_set(F.struct("start", "end")).alias(found))))
+    joined = docs.join(spans, docs["doc_id"].cast("long") == spans[name], "left").select(*[docs[c] for c in docs.columns], spans[found])
     names = docs.columns
     at, last = names.index("text"), len(names)
 
