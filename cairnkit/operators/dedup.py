@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +48,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def greedy(chunks: Column, threshold: float = THRESHOLD, size: int = SHINGLE) -> Column:
     """Chunks that no earlier kept one is similar to, by exact Jaccard of shingles: a fold, no Python."""
+    def fold(units: Column) -> Column:
+        empty = F.filter(units, lambda u: F.lit(False))
+        return F.aggregate(units, empty, lambda acc, u: F.when(F.exists(acc, lambda y: jaccard(y["s"], u["s"]) >= threshold), acc).otherwise(F.concat(acc, F.array(u))))
+
     units = F.transform(exact(chunks), lambda t: F.struct(t.alias("t"), shingles(t, size).alias("s")))
-    empty = F.filter(units, lambda u: F.lit(False))
-    kept = F.aggregate(units, empty, lambda acc, u: F.when(F.exists(acc, lambda y: jaccard(y["s"], u["s"]) >= threshold), acc).otherwise(F.concat(acc, F.array(u))))
-    return F.transform(kept, lambda u: u["t"])
+    return F.transform(let(units, fold), lambda u: u["t"])
 
 
 _LANES = {}
@@ -67,25 +69,31 @@ def _lanes(permutations: int) -> tuple[np.ndarray, np.ndarray]:
 def signature(text: str, permutations: int = PERMUTATIONS, size: int = SHINGLE) -> np.ndarray:
     """The least of each hash over the text's shingles."""
     flat = " ".join(text.split())
-    runs = {flat} if len(flat) <= size else {flat[i : i + size] for i in range(len(flat) - size + 1)}
-    items = np.array([int.from_bytes(hashlib.blake2b(r.encode(), digest_size=8).digest(), "little") for r in sorted(runs)], dtype=np.uint64)
+    points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    width = min(size, len(points))
+    items = np.full(len(points) - width + 1, np.uint64(len(points)) if len(points) < size else np.uint64(0))
+    for k in range(width):
+        items = items * np.uint64(0x100000001B3) + points[k : len(points) - width + 1 + k]
+    items = np.unique(items ^ (items >> np.uint64(29)))
     a, b = _lanes(permutations)
     x = items[:, None] * a + b
     x ^= x >> np.uint64(31)
     return (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=0)
 
 
-def minhash(chunks: Column, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, size: int = SHINGLE) -> Column:
-    """As greedy(), by the share of equal slots of MinHash signatures, in an Arrow UDF.
+def minhash(df: DataFrame, column: str, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, size: int = SHINGLE) -> DataFrame:
+    """df with its column of chunks as greedy() would leave it, by the share of equal slots of MinHash signatures.
 
-    A document's chunks are folded in order: a chunk goes if any kept one before it is
-    similar. The estimate is within about 1 / sqrt(permutations) of the Jaccard similarity.
+    A row's chunks are folded in order: a chunk goes if any kept one before it is similar. The
+    estimate is within about 1 / sqrt(permutations) of the Jaccard similarity. Runs over
+    Arrow batches; rows stay where they are, null arrays stay null.
     """
     permutations, size, threshold = max(16, permutations), max(2, size), min(1.0, max(0.0, threshold))
+    at, schema = df.columns.index(column), df.schema
 
     def fold(texts: list[str]) -> list[str]:
         kept, table = [], np.empty((0, permutations), dtype=np.uint64)
-        for text in (t.strip() for t in texts):
+        for text in (t.strip() for t in texts if t is not None):
             if text:
                 s = signature(text, permutations, size)
                 if not len(table) or (table == s).mean(axis=1).max() < threshold:
@@ -93,20 +101,23 @@ def minhash(chunks: Column, threshold: float = THRESHOLD, permutations: int = PE
                     table = np.vstack([table, s])
         return kept
 
-    @F.pandas_udf("array<string>")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda texts: None if texts is None else fold(list(texts)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folded = [None if texts is None else fold(texts) for texts in batch.column(at).to_pylist()]
+            columns = [*batch.columns[:at], pa.array(folded, pa.list_(pa.string())), *batch.columns[at + 1 :]]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return run(chunks)
+    return df.mapInArrow(run, schema)
 
 
-def dedup_chunks(chunks: Column, strategy: str = "exact", **options) -> Column:
-    """exact (the default), minhash or jaccard, by name."""
+def dedup_chunks(df: DataFrame, column: str, strategy: str = "exact", **options) -> DataFrame:
+    """df with its column of chunks deduplicated: exact (the default), jaccard or minhash, by name."""
     name = strategy.strip().lower()
-    table = {"exact": exact, "minhash": minhash, "jaccard": greedy}
-    if name not in table:
+    if name == "minhash":
+        return minhash(df, column, **options)
+    if name not in ("exact", "jaccard"):
         raise TextProcessingError(f"unknown dedup strategy {strategy}")
-    return table[name](chunks, **options)
+    return df.withColumn(column, exact(F.col(column)) if name == "exact" else greedy(F.col(column), **options))
 
 
 def dropped(before: Column, after: Column) -> Column:

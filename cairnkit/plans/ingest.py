@@ -33,14 +33,10 @@ def with_metadata(docs: DataFrame) -> DataFrame:
     )
 
 
-def _chunks(text: Column, o: Options) -> Column:
-    made = chunk.chunk_text(text, o.chunk_strategy, o.chunk_max_tokens, o.chunk_overlap)
-    if o.dedup_strategy.strip().lower() == "exact":
-        return dedup.exact(made)
-    extra = {"threshold": o.dedup_minhash_threshold, "size": o.dedup_shingle_size}
-    if o.dedup_strategy.strip().lower() == "minhash":
-        extra["permutations"] = o.dedup_minhash_perm
-    return dedup.dedup_chunks(made, o.dedup_strategy, **extra)
+def _dedup(df: DataFrame, column: str, o: Options) -> DataFrame:
+    name = o.dedup_strategy.strip().lower()
+    extra = {} if name == "exact" else {"threshold": o.dedup_minhash_threshold, "size": o.dedup_shingle_size}
+    return dedup.dedup_chunks(df, column, name, **extra | ({"permutations": o.dedup_minhash_perm} if name == "minhash" else {}))
 
 
 def cleaned(docs: DataFrame, options: Options | None = None) -> DataFrame:
@@ -54,12 +50,13 @@ def chunked(docs: DataFrame, options: Options | None = None, embed: Callable[[Co
     o = (options or Options()).checked()
     ready = cleaned(docs, o)
     if o.chunk_strategy.strip().lower() != "semantic":
-        return ready.withColumn("chunks", _chunks(F.col("text"), o))
+        made = chunk.chunk_text(F.col("text"), o.chunk_strategy, o.chunk_max_tokens, o.chunk_overlap)
+        return _dedup(ready.withColumn("chunks", made), "chunks", o)
     if o.embedding_mode == "fake" and embed is None:
         raise ChunkingError("semantic chunks need an encoder with meaning; fake vectors have none")
     embed = embed or encode.build(o.embedding_mode, o.embedding_model, o.embedding_dim)
     parts = chunk.semantic(ready, embed, o.chunk_max_tokens, o.chunk_overlap, kind=o.semantic_breakpoint_type, amount=o.semantic_breakpoint_amount, pattern=o.semantic_sentence_split_regex)
-    return ready.join(parts.select("doc_id", dedup.dedup_chunks(F.col("chunks"), o.dedup_strategy).alias("chunks")), "doc_id", "left")
+    return ready.join(_dedup(parts, "chunks", o), "doc_id", "left")
 
 
 def records(docs: DataFrame, zone_id: str | Column, record_type: str | Column = "knowledge", options: Options | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -105,6 +102,5 @@ def stats(docs: DataFrame, options: Options | None = None) -> DataFrame:
     """(doc_id, n_chunks, n_deduped, dropped_duplicates) of each document."""
     o = (options or Options()).checked()
     before = chunk.chunk_text(F.col("text"), o.chunk_strategy, o.chunk_max_tokens, o.chunk_overlap)
-    ready = cleaned(docs, o).select("doc_id", before.alias("before"))
-    ready = ready.select("doc_id", "before", dedup.dedup_chunks(F.col("before"), o.dedup_strategy).alias("after"))
+    ready = _dedup(cleaned(docs, o).select("doc_id", before.alias("before")).withColumn("after", F.col("before")), "after", o)
     return ready.select("doc_id", F.size("before").alias("n_chunks"), F.size("after").alias("n_deduped"), dedup.dropped(F.col("before"), F.col("after")).alias("dropped_duplicates"))

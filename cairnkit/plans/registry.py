@@ -141,7 +141,8 @@ def dedup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dedup_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunk_rows(spark, sf_dir, dedup.minhash(chunk.hybrid(F.col("text")), 0.3))
+    docs = _documents(spark, sf_dir, chunk.hybrid(F.col("text")), "chunks")
+    return dedup.minhash(docs, "chunks", 0.3).select("doc_id", F.posexplode("chunks").alias("pos", "chunk"))
 
 
 @query
