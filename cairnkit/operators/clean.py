@@ -79,12 +79,12 @@ def clean_code(text: Column) -> Column:
 
 def clean_text(text: Column, file_type: Column, preserve_indent: bool = False) -> Column:
     """The whole chain of a document that isn't paged; with preserve_indent code keeps its lines' indents."""
-    base = basic_clean(text)
+    body = normalize_for_type(basic_clean(text), file_type)
+    code = clean_code(body)
     if preserve_indent:
         plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-        base = F.when(file_type == "code", plain).otherwise(base)
-    body = normalize_for_type(base, file_type)
-    return F.when(file_type == "markdown", clean_markdown(body)).when(file_type == "code", clean_code(body)).otherwise(body)
+        code = F.regexp_replace(rstrip_lines(F.regexp_replace(nfc(map_spaces(plain)), r"(?<=\S)[ \t]{2,}", " ")), r"^\n+|\n+\z", "")
+    return F.when(file_type == "markdown", clean_markdown(body)).when(file_type == "code", code).otherwise(body)
 
 
 def clean_pages(pages: DataFrame, min_line: int = 3, max_line: int = 200, ratio: float = 0.65, normalize: bool = True) -> DataFrame:

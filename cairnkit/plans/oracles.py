@@ -171,16 +171,6 @@ ORACLES: dict[str, str] = {
     "dedup_exact_corpus": f"SELECT min(doc_id) AS doc_id, sha1({strip('text')}) AS hash FROM documents GROUP BY sha1({strip('text')})",
     "dropped_duplicates": f"""WITH c AS (SELECT sha1({PATH}) AS doc_id, {paragraphs(prose(basic("text")), 60, 10)} AS c FROM documents)
       SELECT doc_id, CAST(len(c) AS INTEGER) AS n_chunks, CAST(len(list_distinct(c)) AS INTEGER) AS n_deduped, CAST(len(c) - len(list_distinct(c)) AS INTEGER) AS dropped_duplicates FROM c""",
-    "dedup_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, text AS t FROM documents), {hybrid_cte("d", 300, 50)},
-      k0 AS (SELECT doc_id, CAST(unnest(range(len(c))) AS BIGINT) AS n, unnest(c) AS t FROM (SELECT doc_id, {first_places("c")} AS c FROM h)),
-      k1 AS (SELECT doc_id, n, t, list_distinct(CASE WHEN length(f) <= 5 THEN [f] ELSE list_transform(range(1, length(f) - 3), lambda i: substr(f, CAST(i AS INTEGER), 5)) END) AS s FROM (SELECT *, {strip(f"regexp_replace(t, '{WS}+', ' ', 'g')")} AS f FROM k0)),
-      g AS (SELECT a.doc_id, a.n AS a, b.n AS b FROM k1 a JOIN k1 b ON a.doc_id = b.doc_id AND b.n < a.n WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.3),
-      r AS (SELECT doc_id, CAST(0 AS BIGINT) AS n, [CAST(0 AS BIGINT)] AS kept FROM k1 WHERE n = 0
-        UNION ALL
-        SELECT r.doc_id, r.n + 1, CASE WHEN list_has_any(r.kept, coalesce((SELECT list(b) FROM g WHERE g.doc_id = r.doc_id AND g.a = r.n + 1), CAST([] AS BIGINT[]))) THEN r.kept ELSE list_append(r.kept, r.n + 1) END
-        FROM r JOIN k1 ON k1.doc_id = r.doc_id AND k1.n = r.n + 1),
-      l AS (SELECT doc_id, arg_max(kept, n) AS kept FROM r GROUP BY doc_id)
-      SELECT k1.doc_id, CAST(list_position(kept, k1.n) - 1 AS INTEGER) AS pos, t AS chunk FROM k1 JOIN l ON l.doc_id = k1.doc_id WHERE list_contains(kept, k1.n)""",
     "fake_embed": """WITH b AS (SELECT doc_id, list_transform(range(32), lambda i: CAST(CAST('0x' || substr(sha256(text), CAST(i * 2 + 1 AS INTEGER), 2) AS INTEGER) AS DOUBLE) / 255) AS b FROM documents)
       SELECT doc_id, CAST(i AS INTEGER) AS i, round(b[i % 32 + 1] / sqrt(12 * list_inner_product(b, b)), 9) AS v FROM b, range(384) r(i)""",
     "align_dim": "SELECT vec_id, list_slice(CAST(embedding AS DOUBLE[]), 1, 48) AS cut, list_concat(CAST(embedding AS DOUBLE[]), list_transform(range(6), lambda i: CAST(0 AS DOUBLE))) AS filled FROM embeddings",
