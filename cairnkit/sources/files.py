@@ -110,7 +110,7 @@ def load(spark: SparkSession, paths: str | list[str], ocr: Callable[[object], st
 
     paths are files, folders or globs of any file system that Spark knows. Files of unknown
     type, and those that can't be read, have their reason in error instead of a text; the
-    others go on. Texts are decoded in Arrow batches. A PDF has its pages as an array and
+    others go on; empty files have no row. Texts are decoded in Arrow batches. A PDF has its pages as an array and
     their texts joined by blank lines in text. A file must fit in a worker's memory.
     """
     files = spark.read.format("binaryFile").load(paths)
