@@ -16,7 +16,9 @@ PIVOTS = 32
 POOL = 1024
 BLOCK = 2048
 FIRST = 64
+STEP = 4
 _SLACK = 1e-9
+_NEAR = 1e-6  # more than distances() may be off by, of the vectors' length
 _PAIRS = 1 << 17
 
 
@@ -32,11 +34,16 @@ def choose_pivots(pool: np.ndarray, pivots: int) -> np.ndarray:
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """All Euclidean distances, by one matrix product: to about 1e-7, for orders and bounds with slack."""
+    """All Euclidean distances, by one matrix product: to about 1e-7 of the vectors' length, for use with slack()."""
     square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T
     return np.sqrt(np.maximum(square, 0))
 
 
+def slack(x: np.ndarray, y: np.ndarray) -> float:
+    """More than distances(x, y) may be off by."""
+    return _NEAR * (1 + float(np.sqrt(max((x * x).sum(axis=1).max(), (y * y).sum(axis=1).max()))))
+
+
 class Nearest:
     """The k nearest found so far for some queries; equal distances go by id."""
 
@@ -78,28 +85,53 @@ def search_block(near: Nearest, pivot_q: np.ndarray, vectors: np.ndarray, ids: n
     The bound of a pair is the greatest difference of their distances to a pivot. Queries
     that the block's ranges of these distances exclude are left out first; the others take
     their FIRST candidates in the order of bounds, and after that those whose bounds still
-    are within the lowered limit, which is where an ordered search would stop.
+    are within the lowered limit, which is where an ordered search would stop. Candidates
+    are evaluated by a matrix product, and in double precision where that is near the limit.
     """
     low, high = pivot_x.min(axis=0), pivot_x.max(axis=0)
     gap = np.maximum(low - pivot_q, pivot_q - high).max(axis=1)
     active = np.flatnonzero(gap <= near.limit + _SLACK)
-    step = max(1, (1 << 22) // (len(ids) * 2))
+    step, off = max(1, (1 << 21) // len(ids)), slack(near.queries, vectors)
     for begin in range(0, len(active), step):
         some = active[begin : begin + step]
-        bound = np.zeros((len(some), len(ids)))
-        for p in range(pivot_x.shape[1]):
-            np.maximum(bound, np.abs(pivot_q[some, p, None] - pivot_x[None, :, p]), out=bound)
+        bound = _bounds(pivot_q[some], pivot_x, near.limit[some])
         open_pairs = bound <= near.limit[some, None] + _SLACK
+        about = distances(near.queries[some], vectors)
         if len(ids) > FIRST:
             edge = np.partition(bound, FIRST - 1, axis=1)[:, FIRST - 1]
             early = open_pairs & (bound <= edge[:, None])
-            q, x = np.nonzero(early)
+            q, x = np.nonzero(early & (about <= near.limit[some, None] + off))
             near.offer(some[q], vectors, ids, x)
             open_pairs &= ~early & (bound <= near.limit[some, None] + _SLACK)
-        q, x = np.nonzero(open_pairs)
+        q, x = np.nonzero(open_pairs & (about <= _kth(np.where(open_pairs, about, np.inf), near.k, near.limit[some])[:, None] + 2 * off))
         near.offer(some[q], vectors, ids, x)
 
 
+def _kth(about: np.ndarray, k: int, limit: np.ndarray) -> np.ndarray:
+    """The lesser of each query's limit and its (k + 1)-th approximate distance (one may be its own)."""
+    if about.shape[1] <= k + 1:
+        return limit
+    return np.minimum(limit, np.partition(about, k, axis=1)[:, k])
+
+
+def _bounds(pivot_q: np.ndarray, pivot_x: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Each pair's greatest difference of distances to a pivot, raised pivot by pivot.
+
+    It ends early where STEP more pivots exclude less than a tenth of the pairs left: bounds
+    from fewer pivots are lower, and so never exclude a pair wrongly.
+    """
+    bound = np.zeros((len(pivot_q), len(pivot_x)))
+    left = bound.size
+    for at in range(0, pivot_x.shape[1], STEP):
+        for p in range(at, min(at + STEP, pivot_x.shape[1])):
+            np.maximum(bound, np.abs(pivot_q[:, p, None] - pivot_x[None, :, p]), out=bound)
+        now = int((bound <= limit[:, None] + _SLACK).sum())
+        if now > 0.9 * left or not now:
+            break
+        left = now
+    return bound
+
+
 def top_k(table: DataFrame, k: int = K, pivots: int = PIVOTS, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, rank, neighbor_id, distance): the k nearest other vectors of every vector, exactly.
 
@@ -192,7 +224,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def _pack(ids: np.ndarray, x: np.ndarray, points: np.ndarray, k: int) -> pa.RecordBatch:
     """A block as one row; reach is how far a neighbour of any of its vectors can be."""
     t = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in points], axis=1)
-    reach = float(np.partition(distances(x, x), k, axis=1)[:, k].max() * (1 + 1e-6) + 1e-6) if len(ids) > k else float("inf")
+    reach = float(np.partition(distances(x, x), k, axis=1)[:, k].max() + 2 * slack(x, x)) if len(ids) > k else float("inf")
     name = int(ids.min())  # each id is in one block
     values = [name, ids.tobytes(), np.ascontiguousarray(x).tobytes(), np.ascontiguousarray(t).tobytes(), t.min(axis=0).tolist(), t.max(axis=0).tolist(), reach]
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]

@@ -36,6 +36,12 @@ def test_equals_all_pairs(spark, spread, dim):
     assert grouped(P.top_k(df, k=7, pivots=5, block=64)) == brute(ids, x, 7)
 
 
+def test_exact_far_from_the_origin(spark):
+    x = clusters(300, 4, 9, 0.01) + 5e5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert grouped(P.top_k(df, k=3, pivots=5, block=40)) == brute(list(range(300)), x, 3)
+
+
 def test_far_blocks_are_not_joined_and_few_pairs_are_evaluated(spark, monkeypatch):
     x = clusters(1500, 5, 1, 0.01)
     ids = np.arange(1500)
