@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from cairnkit.llm._util import mix
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 _PRIME = 0x100000001B3 * 0x9E3779B1 % (1 << 64) | 1
 _WORD = np.zeros(256, dtype=bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
