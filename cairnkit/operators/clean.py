@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cairnkit.functions.text import lines, rstrip_lines, strip
+from cairnkit.functions.text import let, lines, rstrip_lines, strip
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F)))
@@ -112,7 +112,8 @@ def clean_pages(pages: DataFrame, min_line: int = 3, max_line: int = 200, ratio:
         here = F.transform("lines", strip)
         at = F.array_position(F.reverse(here) if last else here, F.coalesce("gone", F.lit("")))
         at = F.when(F.col("gone").isNull() | (at == 0), F.lit(-1)).otherwise(F.size("lines") - at if last else at - 1)
-        rows = joined.withColumn("at", at.cast("int")).select("doc_id", "page_no", F.expr("filter(lines, (x, i) -> i <> at)").alias("lines"))
+        rest = let(at.cast("int"), lambda a: F.filter("lines", lambda x, i: i != a))
+        rows = joined.select("doc_id", "page_no", rest.alias("lines"))
     text = strip(F.array_join("lines", "\n"))
     ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", text.alias("text")))).alias("pages"))
     solid = F.filter(F.transform("pages", lambda p: p["text"]), lambda t: t != "")

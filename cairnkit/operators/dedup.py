@@ -47,12 +47,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def greedy(chunks: Column, threshold: float = THRESHOLD, size: int = SHINGLE) -> Column:
-    """Chunks that no earlier kept one is similar to, by exact Jaccard of shingles: a fold, no Python."""
+    """Chunks that no earlier kept one is similar to, by Jaccard of their shingles' 64-bit hashes: a fold, no Python."""
     def fold(units: Column) -> Column:
         empty = F.filter(units, lambda u: F.lit(False))
         return F.aggregate(units, empty, lambda acc, u: F.when(F.exists(acc, lambda y: jaccard(y["s"], u["s"]) >= threshold), acc).otherwise(F.concat(acc, F.array(u))))
 
-    units = F.transform(exact(chunks), lambda t: F.struct(t.alias("t"), shingles(t, size).alias("s")))
+    units = F.transform(exact(chunks), lambda t: F.struct(t.alias("t"), F.transform(shingles(t, size), lambda s: F.xxhash64(s)).alias("s")))
     return F.transform(let(units, fold), lambda u: u["t"])
 
 
