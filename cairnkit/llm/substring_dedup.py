@@ -18,6 +18,9 @@ MIN_WORDS = 50
 THRESHOLD = 0.7
 BANDS, ROWS, SHINGLE = 20, 4, 3
 ANCHOR, REACH, SIDE, LONG = 5, 6, 10, 24  # words: anchor run, local minimum, margin, window
+WINDOW = REACH + LONG + 1  # words of the shorter window
+ASK = 32  # words beyond a match that are compared at once
+SEED = ("seed", "keep_seed", "seed_end")  # character offsets of a run's first window
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -101,7 +104,7 @@ def jaccard(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, words, cluster, keep_doc_id, keep_start) of repeated windows to remove.
+    """(doc_id, start, end, kind, words, cluster, keep_doc_id, keep_start) of repeated passages to remove.
 
     Finds passages that repeat inside longer paragraphs, which a paragraph's own similarity
     is too low to show. The 5-word run with the least hash within 6 runs to either side is an
@@ -109,33 +112,159 @@ def passages(docs: DataFrame) -> DataFrame:
     Each anchor gives two windows, from 6 words before it to 24 after and from 24 before to
     10 after; every anchor that lies 6 words after the begin and 10 before the end of a
     passage of 50 words or more has a window inside it. Windows of equal words are
-    a cluster; all but the first, by doc_id and start, are to be removed. One shuffle of a
-    hash and three numbers for each window.
+    a cluster; all but the first, by doc_id and place, match the first, and from the third
+    instance in one text on the one before it, so that a text of equal lines gives few runs. One shuffle of a hash and four numbers for each window.
+
+    Matches are then extended word by word against that instance, to the left and to the
+    right, until the words differ or a text ends: what is to be removed is the longest equal
+    run, whatever line breaks it holds. It is told as a passage, and the 31
+    words of it that were found first as a window. The instance that keep_doc_id and
+    keep_start name may be removed in turn for a still earlier one; the first of all stays.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for w in _words.blocks(batch.column(1), spans=True):
-                found = _windows(w)
-                if len(found[0]):
-                    key, a, z = found
+                key, a, z = _windows(w)
+                if len(key):
                     row = np.searchsorted(w.starts, a, side="right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[w.first + row]), pa.array(w.begin[a]), pa.array(w.end[z - 1]), pa.array(z - a)], ["key", "doc_id", "start", "end", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[w.first + row]), pa.array(_tags(w)[row]), pa.array((a - w.starts[row]).astype(np.int32)), pa.array((z - a).astype(np.int32))], ["key", "doc_id", "tag", "at", "words"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in by_key(batches, "key"):
-            sizes = np.diff(starts)
-            first = np.repeat(starts[:-1], sizes)
-            rest = np.flatnonzero(np.arange(len(first)) > first)
+            first = np.repeat(starts[:-1], np.diff(starts))
+            key, doc, tag, at, words = (t.column(c).to_numpy() for c in ("key", "doc_id", "tag", "at", "words"))
+            rest = np.flatnonzero((doc != doc[first]) | (tag != tag[first]) | (at != at[first]))
             if len(rest):
-                flat = [t.column(c).to_numpy() for c in ("doc_id", "start", "end", "words", "key")]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c[rest]) for c in flat], pa.array(flat[0][first[rest]]), pa.array(flat[1][first[rest]])], ["doc_id", "start", "end", "words", "cluster", "keep_doc_id", "keep_start"])
+                # rows of equal doc_id and text give the same window again and again
+                new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] != at[:-1]))
+                rest = rest[new[rest]]
+                two = np.maximum(rest - 2, first[rest])
+                head = np.where((doc[two] == doc[rest]) & (tag[two] == tag[rest]) & (rest - 2 >= first[rest]), rest - 1, first[rest])
+                columns = {"doc_id": doc[rest], "tag": tag[rest], "at": at[rest], "words": words[rest], "cluster": key[rest], "keep_doc_id": doc[head], "keep_tag": tag[head], "keep_at": at[head]}
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    found = named.mapInArrow(scan, "key long, doc_id long, start long, end long, words long")
-    ordered = found.repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    return ordered.mapInArrow(mark, "doc_id long, start long, end long, words long, cluster long, keep_doc_id long, keep_start long")
+    found = named.mapInArrow(scan, "key long, doc_id long, tag int, at int, words int")
+    ordered = found.repartition("key").sortWithinPartitions("key", "doc_id", "tag", "at")
+    matched = ordered.mapInArrow(mark, "doc_id long, tag int, at int, words int, cluster long, keep_doc_id long, keep_tag int, keep_at int")
+    return _extended(named, _runs(matched))
+
+
+def _tags(w: _words.Words) -> np.ndarray:
+    """32 bits of the words of each row, which tell texts apart that share a doc_id."""
+    return (_words.sequence_hashes(w.hashes, w.starts)[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _runs(matched: DataFrame) -> DataFrame:
+    """Matches that overlap at the same distance from their first instance, joined to runs of words at .. to - 1."""
+    place = ("doc_id", "tag", "keep_doc_id", "keep_tag", "shift")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in by_key(batches, "doc_id"):
+            flat = {c: t.column(c).to_numpy() for c in (*place, "at", "words", "cluster")}
+            new = np.ones(t.num_rows, dtype=bool)
+            new[1:] = np.any([flat[c][1:] != flat[c][:-1] for c in place], axis=0)
+            lane = np.cumsum(new) << 33
+            at = flat["at"] + lane
+            upto = np.maximum.accumulate(at + flat["words"])
+            new[1:] |= at[1:] > upto[:-1]
+            opens = np.flatnonzero(new)
+            last = np.append(opens[1:], t.num_rows) - 1
+            columns = {c: flat[c][opens] for c in (*place, "at", "cluster")} | {"to": upto[last] - lane[last]}
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+    far = matched.withColumn("shift", F.col("at").cast("long") - F.col("keep_at"))
+    ordered = far.select(*place, F.col("at").cast("long").alias("at"), "words", "cluster").repartition("doc_id").sortWithinPartitions(*place, "at")
+    merged = ordered.mapInArrow(merge, "doc_id long, tag int, keep_doc_id long, keep_tag int, shift long, at long, cluster long, to long")
+    return cut(merged.withColumn("run", F.monotonically_increasing_id()))
+
+
+def _extended(named: DataFrame, runs: DataFrame) -> DataFrame:
+    """Spans of the runs, each made as long as its words and those of the first instance are equal.
+
+    Each end of a run asks both texts for the words beyond it, 32 at first; ends that are
+    equal so far ask for 16 times as many from where they have come, and so on.
+    """
+    ends = [runs.select("run", F.lit(side).alias("side"), "doc_id", "tag", F.expr(spot).alias("spot"), "keep_doc_id", "keep_tag", F.expr(f"{spot} - shift").alias("keep_spot"), *[F.lit(-1).cast("long").alias(c) for c in SEED]) for side, spot in ((0, "at"), (1, "to - 1"))]
+    todo, ready, ask = ends[0].union(ends[1]), [], ASK
+    while True:
+        met = cut(_met(named, todo, ask))
+        ready.append(met.where("not more"))
+        todo = met.where("more").select("run", "side", "doc_id", "tag", "spot", "keep_doc_id", "keep_tag", "keep_spot", *SEED)
+        if todo.isEmpty():
+            break
+        ask *= 16
+    settled = ready[0]
+    for more in ready[1:]:
+        settled = settled.union(more)
+    full = F.struct(F.lit("passage").alias("kind"), F.col("offset").alias("start"), F.col("keep_offset").alias("keep_start"))
+    part = F.struct(F.lit("window").alias("kind"), F.col("seed").alias("start"), F.col("keep_seed").alias("keep_start"))
+    left = settled.where("side = 0").select("run", "doc_id", "tag", "keep_doc_id", "keep_tag", F.col("spot").alias("first"), "seed_end", F.explode(F.array(full, part)).alias("span"))
+    right = settled.where("side = 1").select("run", F.col("spot").alias("last"), F.col("offset").alias("end"))
+    whole = left.join(right, "run").join(runs.select("run", "cluster"), "run")
+    passage = F.col("span.kind") == "passage"
+    whole = whole.select("doc_id", "tag", "span.*", F.when(passage, F.col("end")).otherwise(F.col("seed_end")).alias("end"), F.when(passage, F.col("last") - F.col("first") + 1).otherwise(F.lit(WINDOW)).alias("words"), "keep_doc_id", "keep_tag", "cluster")
+    # runs of one passage parted by a stretch without anchors have grown to the same span
+    once = whole.groupBy("doc_id", "tag", "kind", "start", "end", "words", "keep_doc_id", "keep_tag", "keep_start").agg(F.min("cluster").alias("cluster"))
+    return once.select("doc_id", "start", "end", "kind", "words", "cluster", "keep_doc_id", "keep_start")
+
+
+def _met(named: DataFrame, ends: DataFrame, ask: int) -> DataFrame:
+    """ends moved outward over at most `ask` equal words, with their character offsets; more tells that all were equal."""
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, asked = batch.column(0).to_numpy(), batch.column(2)
+            flat, bounds = asked.flatten(), np.concatenate(([0], np.cumsum(asked.value_lengths().to_numpy())))
+            tag, spot, side = (flat.field(c).to_numpy() for c in ("tag", "spot", "side"))
+            for w in _words.blocks(batch.column(1), spans=True):
+                tags, rows = _tags(w), {"doc_id": [], "tag": [], "spot": [], "side": [], "hashes": [], "offsets": []}
+                for r in range(w.rows):
+                    low, high = int(w.starts[r]), int(w.starts[r + 1])
+                    for k in range(int(bounds[w.first + r]), int(bounds[w.first + r + 1])):
+                        at = low + int(spot[k])
+                        if tag[k] != tags[r] or at >= high:
+                            continue
+                        if side[k]:
+                            words, offsets = w.hashes[at : min(high, at + ask + 1)], w.end[at : min(high, at + ask + 1)]
+                        else:
+                            words, offsets = w.hashes[max(low, at - ask) : at + 1][::-1], w.begin[max(low, at - ask) : at + 1][::-1]
+                        for name, x in zip(rows, (ids[w.first + r], tag[k], spot[k], side[k], words.tobytes(), np.append(offsets, w.end[min(high, at + WINDOW) - 1]).astype(np.int64).tobytes()), strict=True):
+                            rows[name].append(x)
+                if rows["spot"]:
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows.values(), kinds, strict=True)], list(rows))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = {c: batch.column(c).to_numpy().copy() for c in ("run", "side", "doc_id", "tag", "spot", "keep_doc_id", "keep_tag", "keep_spot", *SEED)}
+            untold = numbers["seed"] < 0
+            equal, offset, keep_offset = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            for i, (mine, kept, at, keep_at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hashes", "keep_hashes", "offsets", "keep_offsets")), strict=True)):
+                n = min(len(mine), len(kept)) // 8
+                apart = np.flatnonzero(np.frombuffer(mine, np.uint64, n) != np.frombuffer(kept, np.uint64, n))
+                equal[i] = n = int(apart[0]) if len(apart) else n
+                if n:
+                    offset[i], keep_offset[i] = np.frombuffer(at, np.int64)[n - 1], np.frombuffer(keep_at, np.int64)[n - 1]
+                    if untold[i]:
+                        own = np.frombuffer(at, np.int64)
+                        numbers["seed"][i], numbers["keep_seed"][i], numbers["seed_end"][i] = own[0], np.frombuffer(keep_at, np.int64)[0], own[-1]
+            out = np.where(numbers["side"] == 1, 1, -1) * (equal - 1)
+            numbers["spot"] += out
+            numbers["keep_spot"] += out
+            columns = [pa.array(c) for c in (*numbers.values(), offset, keep_offset, equal > ask)]
+            yield pa.RecordBatch.from_arrays(columns, [*numbers, "offset", "keep_offset", "more"]).filter(pa.array(equal > 0))
+
+    asks = ends.select("doc_id", "tag", "spot", "side").union(ends.select("keep_doc_id", "keep_tag", "keep_spot", "side")).distinct()
+    asks = small(cut(asks.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("tag", "spot", "side")).alias("asks"))))
+    texts = named.join(asks, named["doc_id"] == asks["id"]).select("doc_id", "text", "asks")
+    given = texts.mapInArrow(beyond, "doc_id long, tag int, spot long, side int, hashes binary, offsets binary")
+    given = cut(given.dropDuplicates(["doc_id", "tag", "spot", "side"]))
+    kept = given.select(F.col("doc_id").alias("keep_doc_id"), F.col("tag").alias("keep_tag"), F.col("spot").alias("keep_spot"), "side", F.col("hashes").alias("keep_hashes"), F.col("offsets").alias("keep_offsets"))
+    both = ends.join(given, ["doc_id", "tag", "spot", "side"]).join(kept, ["keep_doc_id", "keep_tag", "keep_spot", "side"])
+    return both.mapInArrow(compare, "run long, side int, doc_id long, tag int, spot long, keep_doc_id long, keep_tag int, keep_spot long, seed long, keep_seed long, seed_end long, offset long, keep_offset long, more boolean")
 
 
 def _windows(w: _words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +304,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRE
     """(doc_id, start, end, kind, words, cluster, keep_doc_id, keep_start): all spans to remove.
 
     The union of paragraphs() and passages(), told apart by kind; start and end are
-    character offsets, spans of a document may overlap, and the kept first instance of a
+    character offsets, spans of a document may overlap
+    (a window lies within its passage), and the kept first instance of a
     cluster is named by keep_doc_id and keep_start. A passage of min_words repeated within
     one document counts as well. Repeated rows of one doc_id are one document: equal
     spans are told once and the first row's are kept.
@@ -184,7 +314,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRE
     and text are read.
     """
     one = paragraphs(docs, min_words, threshold).withColumn("kind", F.lit("paragraph"))
-    two = passages(docs).withColumn("kind", F.lit("passage"))
+    two = passages(docs)
     columns = ("doc_id", "start", "end", "kind", "words", "cluster", "keep_doc_id", "keep_start")
     return one.select(*columns).unionByName(two.select(*columns)).where("doc_id <> keep_doc_id or start <> keep_start")
 

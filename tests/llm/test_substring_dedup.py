@@ -133,3 +133,26 @@ def test_edge_cases(spark):
     assert got[1][1].startswith("é漢") and got[1][1].endswith("end") and len(got[1][1]) < len(other) + 90 and got[1][2] == len(got[1][1])
     assert got[0][1] == p and got[0][2] == 1 and got[-1][1] == p
     assert S.repeats(docs.limit(0)).count() == 0 and S.strip(docs.limit(0)).count() == 0
+
+
+def test_passages_are_cut_to_their_ends(spark, planted):
+    data, hot, inside = planted
+    rng = random.Random(5)
+    words = vocabulary(rng)
+    giant = prose(rng, words, 1500)  # without an anchor near its ends it takes further rounds
+    flat = prose(rng, words, 40) + " same" * 900 + " " + prose(rng, words, 40)
+    long = [(1000 + i, prose(rng, words, 20) + " " + x + " " + prose(rng, words, 20)) for i, x in enumerate((giant, giant, flat, flat))]
+    texts = dict(data + long)
+    spans = S.repeats(spark.createDataFrame(data + long, "doc_id long, text string")).toPandas()
+    where = [(p, i) for p, at in inside.items() for i in at[1:]]
+    for passage, i in [*((hot[p], i) for p, i in where), (giant, 1001), (flat, 1003)]:
+        mine = spans[(spans.doc_id == i) & (spans.kind == "passage")]
+        a = texts[i].index(passage)
+        covered = np.zeros(len(texts[i]), bool)
+        for r in mine.itertuples():
+            covered[r.start : r.end] = True
+            kept = texts[r.keep_doc_id][r.keep_start :]
+            same = [re.findall(r"\w+", x)[: r.words] for x in (texts[i][r.start : r.end], kept)]
+            assert same[0] == same[1] and len(same[0]) == r.words
+        assert covered[a : a + len(passage.rstrip(",."))].all(), i
+    assert {1000, 1002}.isdisjoint(spans.doc_id)
