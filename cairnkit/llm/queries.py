@@ -57,8 +57,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where every piece of every document lies in the packed sequences."""
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    """Where every piece of every document lies in the packed sequences, lengths in the tokenizer's tokens."""
+    return packing.pack(token_counts.token_counts(_table(spark, sf_dir, "documents")), tokens_col="n_tokens")
 
 
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

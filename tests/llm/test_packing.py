@@ -70,3 +70,14 @@ def test_pack_covers_every_token_once(spark):
     assert packing.pack(docs.limit(0)).count() == 0
     with pytest.raises(ValueError, match="positive"):
         packing.pack(docs, (0, 4))
+
+
+def test_the_query_packs_tokens_of_the_tokenizer(spark, tmp_path):
+    from cairnkit.llm import queries, token_counts
+
+    docs = spark.createDataFrame([(1, "unspacedtext" * 5000), (2, "Some words, antidisestablishmentarianism and more."), (3, None), (4, "漢字" * 9000)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_packing(spark, str(tmp_path)).toPandas()
+    want = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect() if r.n_tokens}
+    assert (got.to_token - got.from_token).groupby(got.doc_id).sum().to_dict() == want
+    assert want[1] > 8192 and (got.bin_tokens <= got.bin_length).all()
