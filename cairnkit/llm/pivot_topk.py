@@ -1,4 +1,4 @@
-"""Exact nearest neighbours of every vector by pivot-table elimination."""
+"""Exact nearest neighbours of a query set among all vectors, by pivot-table elimination."""
 
 from __future__ import annotations
 
@@ -6,17 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnkit.llm._util import cut
 
 K = 10
+EVERY = 50
 PIVOTS = 32
 POOL = 1024
 BLOCK = 2048
 FIRST = 64
 STEP = 4
+DENSE = 8  # a product is taken where one in so many of its cells is wanted
+AT_ONCE = 32_768  # queries in a broadcast: 40 MB at 64 places, 32 pivots and 10 neighbours
+_HUGE = 1e150
 _SLACK = 1e-9
 _NEAR = 1e-6  # more than distances() may be off by, of the vectors' length
 _PAIRS = 1 << 17
@@ -79,32 +83,54 @@ class Nearest:
         self.distance[mine], self.found[mine] = d[pick], new[pick]
 
 
-def search_block(near: Nearest, pivot_q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, pivot_x: np.ndarray) -> None:
-    """Offer the vectors of one block to all queries whose bounds don't exclude them.
+def search_block(near: Nearest, pivot_q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, pivot_x: np.ndarray, among: np.ndarray | None = None) -> int:
+    """Offer the vectors of one block to the queries (or those `among` them); how many distances were evaluated.
 
     The bound of a pair is the greatest difference of their distances to a pivot. Queries
-    that the block's ranges of these distances exclude are left out first; the others take
-    their FIRST candidates in the order of bounds, and after that those whose bounds still
-    are within the lowered limit, which is where an ordered search would stop. Candidates
-    are evaluated by a matrix product, and in double precision where that is near the limit.
+    that the block's ranges of these distances exclude are left out first. The others take
+    their candidates in the order of bounds, FIRST of them and then four times as many in
+    each further round, and stop where the next bound is beyond the limit as lowered so far.
     """
     low, high = pivot_x.min(axis=0), pivot_x.max(axis=0)
     gap = np.maximum(low - pivot_q, pivot_q - high).max(axis=1)
     active = np.flatnonzero(gap <= near.limit + _SLACK)
-    step, off = max(1, (1 << 21) // len(ids)), slack(near.queries, vectors)
+    if among is not None:
+        active = np.intersect1d(active, among)
+    step, evaluated = max(1, (1 << 21) // len(ids)), 0
     for begin in range(0, len(active), step):
         some = active[begin : begin + step]
         bound = _bounds(pivot_q[some], pivot_x, near.limit[some])
-        open_pairs = bound <= near.limit[some, None] + _SLACK
-        about = distances(near.queries[some], vectors)
-        if len(ids) > FIRST:
-            edge = np.partition(bound, FIRST - 1, axis=1)[:, FIRST - 1]
-            early = open_pairs & (bound <= edge[:, None])
-            q, x = np.nonzero(early & (about <= near.limit[some, None] + off))
-            near.offer(some[q], vectors, ids, x)
-            open_pairs &= ~early & (bound <= near.limit[some, None] + _SLACK)
-        q, x = np.nonzero(open_pairs & (about <= _kth(np.where(open_pairs, about, np.inf), near.k, near.limit[some])[:, None] + 2 * off))
+        size = FIRST
+        while True:
+            open_pairs = bound <= near.limit[some, None] + _SLACK
+            if not open_pairs.any():
+                break
+            if size < len(ids):
+                edge = np.partition(bound, size - 1, axis=1)[:, size - 1]
+                open_pairs &= bound <= edge[:, None]
+            evaluated += _evaluate(near, some, open_pairs, vectors, ids)
+            if size >= len(ids):
+                break
+            bound[open_pairs] = np.inf  # done with
+            size *= 4
+    return evaluated
+
+
+def _evaluate(near: Nearest, some: np.ndarray, wanted: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> int:
+    """Offer the wanted (query, vector) pairs: one by one where they are few, else by a product of their rows and columns."""
+    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    pairs = int(wanted.sum())
+    if pairs * DENSE < len(rows) * len(columns):
+        q, x = np.nonzero(wanted)
         near.offer(some[q], vectors, ids, x)
+        return pairs
+    at, open_pairs = some[rows], wanted[np.ix_(rows, columns)]
+    about = distances(near.queries[at], vectors[columns])
+    off = slack(near.queries[at], vectors[columns])
+    near_enough = _kth(np.where(open_pairs, about, np.inf), near.k, near.limit[at])
+    q, x = np.nonzero(open_pairs & (about <= near_enough[:, None] + 2 * off))
+    near.offer(at[q], vectors, ids, columns[x])
+    return len(rows) * len(columns)
 
 
 def _kth(about: np.ndarray, k: int, limit: np.ndarray) -> np.ndarray:
@@ -132,29 +158,32 @@ def _bounds(pivot_q: np.ndarray, pivot_x: np.ndarray, limit: np.ndarray) -> np.n
     return bound
 
 
-def top_k(table: DataFrame, k: int = K, pivots: int = PIVOTS, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): the k nearest other vectors of every vector, exactly.
+def top_k(table: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVOTS, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", at_once: int = AT_ONCE) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): the k nearest other vectors of every query, exactly.
 
-    Distances are Euclidean, in double precision; equal ones are ranked by neighbor_id. For
-    unit vectors the order is that of cosine similarity. Where fewer than k other vectors
-    exist, all are returned.
+    The queries are the vectors whose id is divisible by `every`; 1 makes all of them
+    queries. Each is held against every row. Distances are Euclidean, in double precision;
+    equal ones are ranked by neighbor_id. For unit vectors the order is that of cosine
+    similarity. Where fewer than k other vectors exist, all are returned.
 
     Each vector's distances to the pivots are its row of the pivot table. Vectors are put in
-    order by nearest pivot and distance to it and cut into blocks; a block's ranges of pivot
-    distances bound its distance from any query. A block of queries first searches itself,
-    which limits how far its neighbours can be; it is then joined to the blocks that its
-    ranges don't exclude, and takes them in the order of their bounds until the next is
-    farther than every query's limit. No candidate is dropped but by its bound.
-
-    Rows with a null id, a null vector or a null, NaN or infinite component are left out, as
-    are vectors not of the most frequent length (the least of equally frequent). Of rows
-    that repeat an id the least vector counts. Other columns aren't read.
+    order by nearest pivot and distance to it and cut into blocks, once. A query first
+    searches the block that it lies in, which limits how far its neighbours can be. Queries
+    then travel to the blocks, at most at_once vectors in one broadcast, and each task passes
+    on only what is nearer than that limit; blocks, and candidates within them, are left out
+    where their bounds exceed the limit, and never for another reason. Vectors are shuffled
+    once, for their order, whatever the number of queries.
+
+    Rows with a null id, a null vector or a component that is null, NaN or of 1e150 or more
+    (whose square is no number) are left out, as are vectors not of the most frequent length
+    (the least of equally frequent). Of rows that repeat an id the least vector counts. An
+    empty table, or one without queries, gives no rows. Other columns aren't read.
     """
-    if k < 1 or pivots < 1 or block < 2:
-        raise ValueError("k and pivots must be positive, block 2 or more")
+    if k < 1 or every < 1 or pivots < 1 or block < 2 or at_once < 1:
+        raise ValueError("k, every, pivots and at_once must be positive, block 2 or more")
     spark = table.sparkSession
     clean = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
-    clean = clean.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+    clean = clean.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(_HUGE))))
     sizes = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     schema = "vec_id long, rank int, neighbor_id long, distance double"
     if sizes is None:
@@ -182,64 +211,94 @@ def top_k(table: DataFrame, k: int = K, pivots: int = PIVOTS, block: int = BLOCK
             while sum(len(i) for i, _ in held) >= 2 * block:
                 ids, x = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
                 held = [(ids[block:], x[block:])]
-                yield _pack(ids[:block], x[:block], shared.value, k)
+                yield _pack(ids[:block], x[:block], shared.value)
         if held and sum(len(i) for i, _ in held):
-            yield _pack(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), shared.value, k)
-
-    blocks = cut(ordered.mapInArrow(gather, "block long, ids binary, vectors binary, table binary, low array<double>, high array<double>, reach double"))
-    slim = blocks.select("block", "low", "high", "reach")
-    other = slim.select(F.col("block").alias("to"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    gaps = F.zip_with(F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
-    pairs = slim.crossJoin(other).withColumn("bound", F.greatest(F.array_max(gaps), F.lit(0.0))).where(F.col("bound") <= F.col("reach"))
-    pairs = cut(pairs.select("block", "to", F.when(F.col("block") == F.col("to"), F.lit(-1.0)).otherwise(F.col("bound")).alias("bound")))
-    data = blocks.select(F.col("block").alias("to"), "ids", "vectors", "table")
-    work = pairs.join(data, "to").repartition("block").sortWithinPartitions("block", "bound", "to").select("block", "bound", "ids", "vectors", "table")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, near, pivot_q, done = None, None, None, False
+            yield _pack(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), shared.value)
+
+    blocks = cut(ordered.mapInArrow(gather, "block long, ids binary, vectors binary, table binary"))
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, ids, x, t in _unpacked(batches, dim):
+            mine = np.flatnonzero(ids % every == 0)
+            if len(mine):
+                near = Nearest(x[mine], ids[mine], k)
+                search_block(near, t[mine], x, ids, t)
+                parts = (ids[mine], x[mine], t[mine], near.distance, near.found)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), *[pa.array([np.ascontiguousarray(p).tobytes()]) for p in parts]], ["block", "ids", "vectors", "table", "distance", "found"])
+
+    asked = cut(blocks.mapInArrow(at_home, "block long, ids binary, vectors binary, table binary, distance binary, found binary"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                name, bound = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if name == current and (done or bound > near.limit.max() + _SLACK):
-                    done = True  # the rest lies farther still
-                    continue
-                ids = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.int64)
-                x = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.float64).reshape(len(ids), dim)
-                t = np.frombuffer(batch.column(4)[i].as_buffer(), dtype=np.float64).reshape(len(ids), -1)
-                if name != current:
-                    if near is not None:
-                        yield _result(near)
-                    current, near, pivot_q, done = name, Nearest(x, ids, k), t, False
-                search_block(near, pivot_q, x, ids, t)
-        if near is not None:
-            yield _result(near)
-
-    return work.mapInArrow(search, schema)
+            for row in batch.to_pylist():
+                d = np.frombuffer(row["distance"]).reshape(-1, k)
+                there = np.isfinite(d)
+                yield _result(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["found"], np.int64).reshape(-1, k), d, there)
+
+    found = asked.mapInArrow(first, "vec_id long, neighbor_id long, distance double")
+    for homes, queries, pivot_q, distance, seeds in _in_turn(asked, dim, k, at_once):
+        sent = spark.sparkContext.broadcast((homes, queries, pivot_q, distance, seeds))
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            homes, (own, vectors), pivot_q, distance, seeds = sent.value
+            near = Nearest(vectors, own, k)
+            near.distance, near.found = distance.copy(), seeds.copy()
+            for name, ids, x, t in _unpacked(batches, dim):
+                search_block(near, pivot_q, x, ids, t, np.flatnonzero(homes != name))
+            new = np.isfinite(near.distance) & ~(near.found[:, :, None] == seeds[:, None, :]).any(axis=2)
+            if new.any():
+                yield _result(own, near.found, near.distance, new)
+
+        found = found.union(cut(blocks.select("block", "ids", "vectors", "table").mapInArrow(search, "vec_id long, neighbor_id long, distance double")))
+    best = Window.partitionBy("vec_id").orderBy("distance", "neighbor_id")
+    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "distance")
+
+
+def _in_turn(asked: DataFrame, dim: int, k: int, at_once: int) -> Iterator[tuple]:
+    """The queries in runs of at most at_once (and a block's), read one partition at a time."""
+    held, count = [], 0
+    for row in asked.toLocalIterator():
+        ids = np.frombuffer(row.ids, np.int64)
+        if held and count + len(ids) > at_once:
+            yield _run(held)
+            held, count = [], 0
+        held.append((np.full(len(ids), row.block), ids, np.frombuffer(row.vectors).reshape(len(ids), dim), np.frombuffer(row.table).reshape(len(ids), -1), np.frombuffer(row.distance).reshape(-1, k), np.frombuffer(row.found, np.int64).reshape(-1, k)))
+        count += len(ids)
+    if held:
+        yield _run(held)
+
+
+def _run(held: list[tuple]) -> tuple:
+    homes, ids, vectors, tables, distance, found = (np.concatenate(x) for x in zip(*held, strict=True))
+    return homes, (ids, vectors), tables, distance, found
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.int64)
+            x, t = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.float64).reshape(len(ids), -1) for c in (2, 3))
+            yield batch.column(0)[i].as_py(), ids, x, t
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _pack(ids: np.ndarray, x: np.ndarray, points: np.ndarray, k: int) -> pa.RecordBatch:
-    """A block as one row; reach is how far a neighbour of any of its vectors can be."""
+def _pack(ids: np.ndarray, x: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
+    """A block as one row, named by its least id: each id is in one block."""
     t = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in points], axis=1)
-    reach = float(np.partition(distances(x, x), k, axis=1)[:, k].max() + 2 * slack(x, x)) if len(ids) > k else float("inf")
-    name = int(ids.min())  # each id is in one block
-    values = [name, ids.tobytes(), np.ascontiguousarray(x).tobytes(), np.ascontiguousarray(t).tobytes(), t.min(axis=0).tolist(), t.max(axis=0).tolist(), reach]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "ids", "vectors", "table", "low", "high", "reach"])
+    parts = (ids, np.ascontiguousarray(x), np.ascontiguousarray(t))
+    return pa.RecordBatch.from_arrays([pa.array([int(ids.min())]), *[pa.array([p.tobytes()]) for p in parts]], ["block", "ids", "vectors", "table"])
 
 
-def _result(near: Nearest) -> pa.RecordBatch:
-    there = np.isfinite(near.distance)
-    q, rank = np.nonzero(there)
-    return pa.RecordBatch.from_arrays([pa.array(near.ids[q]), pa.array((rank + 1).astype(np.int32)), pa.array(near.found[there]), pa.array(near.distance[there])], ["vec_id", "rank", "neighbor_id", "distance"])
+def _result(ids: np.ndarray, found: np.ndarray, distance: np.ndarray, these: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids[np.nonzero(these)[0]]), pa.array(found[these]), pa.array(distance[these])], ["vec_id", "neighbor_id", "distance"])
 
 
-def top_k_sql(k: int = K) -> str:
-    """top_k() over the embeddings table for DuckDB, comparing all pairs."""
+def top_k_sql(k: int = K, every: int = EVERY) -> str:
+    """top_k() over the embeddings table for DuckDB, comparing each query with all rows."""
     return f"""WITH e AS (SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY vec_id),
-    d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+    d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.vec_id % {every} = 0 AND a.vec_id <> b.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbor_id) AS rank FROM d)
     SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(dist, 6) AS distance FROM r WHERE rank <= {k}"""

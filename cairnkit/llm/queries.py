@@ -47,7 +47,7 @@ def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest neighbours of every embedding, distances to six places."""
+    """The ten nearest of all embeddings to every one whose id is divisible by 50, distances to six places."""
     return pivot_topk.top_k(_table(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 6))
 
 
