@@ -89,7 +89,8 @@ def search_block(near: Nearest, pivot_q: np.ndarray, vectors: np.ndarray, ids: n
     The bound of a pair is the greatest difference of their distances to a pivot. Queries
     that the block's ranges of these distances exclude are left out first. The others take
     their candidates in the order of bounds, FIRST of them and then four times as many in
-    each further round, and stop where the next bound is beyond the limit as lowered so far.
+    each further round (all that are open, once the queries want much the same ones), and
+    stop where the next bound is beyond the limit as lowered so far.
     """
     low, high = pivot_x.min(axis=0), pivot_x.max(axis=0)
     gap = np.maximum(low - pivot_q, pivot_q - high).max(axis=1)
@@ -105,25 +106,30 @@ def search_block(near: Nearest, pivot_q: np.ndarray, vectors: np.ndarray, ids: n
             open_pairs = bound <= near.limit[some, None] + _SLACK
             if not open_pairs.any():
                 break
+            wanted = open_pairs
             if size < len(ids):
-                edge = np.partition(bound, size - 1, axis=1)[:, size - 1]
-                open_pairs &= bound <= edge[:, None]
-            evaluated += _evaluate(near, some, open_pairs, vectors, ids)
-            if size >= len(ids):
+                wanted = open_pairs & (bound <= np.partition(bound, size - 1, axis=1)[:, size - 1][:, None])
+                if _dense(wanted):
+                    wanted = open_pairs  # a product of these rows and columns would hold them too
+            evaluated += _evaluate(near, some, wanted, vectors, ids)
+            if wanted is open_pairs:
                 break
-            bound[open_pairs] = np.inf  # done with
+            bound[wanted] = np.inf  # done with
             size *= 4
     return evaluated
 
 
+def _dense(wanted: np.ndarray) -> bool:
+    return int(wanted.sum()) * DENSE >= int(wanted.any(axis=1).sum()) * int(wanted.any(axis=0).sum())
+
+
 def _evaluate(near: Nearest, some: np.ndarray, wanted: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> int:
     """Offer the wanted (query, vector) pairs: one by one where they are few, else by a product of their rows and columns."""
-    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
-    pairs = int(wanted.sum())
-    if pairs * DENSE < len(rows) * len(columns):
+    if not _dense(wanted):
         q, x = np.nonzero(wanted)
         near.offer(some[q], vectors, ids, x)
-        return pairs
+        return len(q)
+    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
     at, open_pairs = some[rows], wanted[np.ix_(rows, columns)]
     about = distances(near.queries[at], vectors[columns])
     off = slack(near.queries[at], vectors[columns])
