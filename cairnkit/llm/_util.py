@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,12 +110,29 @@ def linked(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple
     return edges
 
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes_of(column: Column, kind: T.DataType) -> Column:
+    """About what a value takes in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        size = F.octet_length(column) + 24
+    elif isinstance(kind, T.ArrayType):
+        each = 8 * max(1, len(kind.elementType.fields)) + 8 if isinstance(kind.elementType, T.StructType) else 8
+        size = F.size(column) * each + 24
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(8))
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most that many bytes; else as it is, for a shuffle join.
+
+    df is read for this, so it should be cut beforehand. Nested arrays of strings or arrays
+    aren't measured and mustn't be among its columns.
+    """
+    taken = sum((_bytes_of(df[f.name], f.dataType) for f in df.schema), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(taken)).first()[0] or 0) <= most else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

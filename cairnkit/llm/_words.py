@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from cairnkit.llm._util import mix
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 _PRIME = 0x100000001B3 * 0x9E3779B1 % (1 << 64) | 1
 _WORD = np.zeros(256, dtype=bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -39,6 +39,7 @@ class Words:
     begin: np.ndarray
     end: np.ndarray
     newline: np.ndarray | None
+    gap: np.ndarray | None
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.starts))
@@ -63,7 +64,8 @@ def blocks(texts: pa.Array, spans: bool = False) -> Iterator[Words]:
     """Words of runs of whole rows of about BLOCK_BYTES; a null has no words.
 
     begin and end are byte offsets within the row's text. With spans they are character
-    offsets, and newline tells which words are the first of their line.
+    offsets, and newline tells which words are the first of their line, gap which of them
+    follow a line without words.
     """
     texts = texts.cast(pa.large_string())
     n = len(texts)
@@ -101,7 +103,7 @@ def _block(raw: np.ndarray, offsets: np.ndarray, first: int, valid: np.ndarray |
     begin = np.flatnonzero(opens)
     if len(begin) == 0:
         none = np.zeros(0, np.int64)
-        return Words(first, rows, np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), none, none, np.zeros(0, bool) if spans else None)
+        return Words(first, rows, np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), none, none, *[np.zeros(0, bool) if spans else None] * 2)
     starts_in = np.flatnonzero(opens[at])
     power, inverse = _power(len(at) + 1)
     terms = folded[at].astype(np.uint64)
@@ -115,14 +117,17 @@ def _block(raw: np.ndarray, offsets: np.ndarray, first: int, valid: np.ndarray |
     owner = np.repeat(np.arange(rows), np.diff(starts))
     if not spans:
         begin = begin - offsets[:-1][owner]
-        return Words(first, rows, hashes, starts, begin, begin + lengths, None)
+        return Words(first, rows, hashes, starts, begin, begin + lengths, None, None)
     line = np.cumsum(raw == 10)[begin]
     newline = np.ones(len(begin), dtype=bool)
     newline[1:] = line[1:] != line[:-1]
-    newline[starts[:-1][starts[:-1] < len(begin)]] = True
+    gap = np.zeros(len(begin), dtype=bool)
+    gap[1:] = line[1:] > line[:-1] + 1
+    heads = starts[:-1][starts[:-1] < len(begin)]
+    newline[heads], gap[heads] = True, False
     before = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
     base = before[offsets[:-1]][owner]
-    return Words(first, rows, hashes, starts, before[begin] - base, before[begin + lengths] - base, newline)
+    return Words(first, rows, hashes, starts, before[begin] - base, before[begin + lengths] - base, newline, gap)
 
 
 def shingles(hashes: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

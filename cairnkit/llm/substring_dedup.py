@@ -15,23 +15,25 @@ from cairnkit.llm.components import components
 from cairnkit.llm.near_dedup import collisions
 
 MIN_WORDS = 50
+PARAGRAPH_WORDS = 20
 THRESHOLD = 0.7
-BANDS, ROWS, SHINGLE = 20, 4, 3
-ANCHOR, REACH, SIDE, LONG = 5, 6, 10, 24  # words: anchor run, local minimum, margin, window
-WINDOW = REACH + LONG + 1  # words of the shorter window
+BANDS, ROWS, SHINGLE = 12, 3, 3
+RUN = 8  # words of the shingles of a sliding sub-paragraph
+PERIOD = 8  # a shingle that comes again within so many words isn't drawn twice
 ASK = 32  # words beyond a match that are compared at once
-SEED = ("seed", "keep_seed", "seed_end")  # character offsets of a run's first window
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+def paragraphs(docs: DataFrame, min_words: int = PARAGRAPH_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, start, end, words, cluster, keep_doc_id, keep_start) of the paragraphs to remove.
 
-    A paragraph is a line of at least min_words words; start and end are the character
-    offsets of its first and last word. Paragraphs whose 3-word runs collide in one of 20
-    bands of 4 SuperMinHash slots (found with probability 0.996 at similarity 0.7) are
-    joined, their exact Jaccard similarity is compared with the threshold, and the
-    components of what passes are clusters. All of a cluster but its first, by doc_id and
-    start, is to be removed.
+    A paragraph is a line of at least min_words words and, in a text with lines that hold no
+    word, also a run of several lines between such lines, so that hard-wrapped paragraphs are
+    compared as wholes. start and end are the character offsets of its first and last word.
+    Paragraphs whose 3-word runs collide in one of 12 bands of 3 SuperMinHash slots (found
+    with probability 0.993 at similarity 0.7) are joined, their exact Jaccard similarity is
+    compared with the threshold, and the components of what passes are clusters. All of a
+    cluster but its first, by doc_id and start, is to be removed; what overlaps the first (a
+    line of a paragraph that is kept) isn't.
     """
     slots = BANDS * ROWS
 
@@ -39,12 +41,7 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = T
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for w in _words.blocks(batch.column(1), spans=True):
-                opens = np.flatnonzero(w.newline)
-                if not len(opens):
-                    continue
-                ends = np.append(opens[1:], len(w.hashes))
-                long = ends - opens >= min_words
-                opens, ends = opens[long], ends[long]
+                opens, ends = _paragraphs(w, min_words)
                 if not len(opens):
                     continue
                 sizes = ends - opens
@@ -88,11 +85,30 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = T
     roots = small(cut(components(shipped.mapInArrow(verify, "a long, b long"))))
     slim = table.select("doc_id", "start", "end", "words", "h1")
     placed = slim.join(roots, slim["h1"] == roots["node"], "left").withColumn("cluster", F.coalesce("root", "h1"))
-    first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("cluster"))
-    marked = placed.withColumn("first", first).where("first.doc_id <> doc_id or first.start <> start")
+    first = placed.groupBy("cluster").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    marked = placed.join(first, "cluster").where("first.doc_id <> doc_id or start >= first.end or end <= first.start")
     return marked.select("doc_id", "start", "end", "words", "cluster", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"))
 
 
+def _paragraphs(w: _words.Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words, and words after the last, of the paragraphs."""
+    n = len(w.hashes)
+    opens = np.flatnonzero(w.newline)
+    ends = np.append(opens[1:], n)
+    if w.gap.any():
+        heads = w.gap.copy()
+        heads[w.starts[:-1][w.starts[:-1] < n]] = True
+        first = np.flatnonzero(heads)
+        last = np.append(first[1:], n)
+        row = np.searchsorted(w.starts, first, side="right") - 1
+        gaps = np.add.reduceat(np.append(w.gap, False).astype(np.int64), w.starts[row])
+        lines = np.add.reduceat(w.newline.astype(np.int64), first)
+        whole = (lines > 1) & (gaps > 0)
+        opens, ends = np.concatenate([opens, first[whole]]), np.concatenate([ends, last[whole]])
+    long = ends - opens >= min_words
+    return opens[long], ends[long]
+
+
 def jaccard(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """Exact similarities of a sorted set to other non-empty sorted sets."""
     sizes = np.array([len(x) for x in others])
@@ -103,38 +119,46 @@ def jaccard(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return shared / (len(one) + sizes - shared)
 
 
-def passages(docs: DataFrame) -> DataFrame:
+def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, kind, words, cluster, keep_doc_id, keep_start) of repeated passages to remove.
 
     Finds passages that repeat inside longer paragraphs, which a paragraph's own similarity
-    is too low to show. The 5-word run with the least hash within 6 runs to either side is an
-    anchor, about one word in 13, and the same one wherever the text around it is the same.
-    Each anchor gives two windows, from 6 words before it to 24 after and from 24 before to
-    10 after; every anchor that lies 6 words after the begin and 10 before the end of a
-    passage of 50 words or more has a window inside it. Windows of equal words are
-    a cluster; all but the first, by doc_id and place, match the first, and from the third
-    instance in one text on the one before it, so that a text of equal lines gives few runs. One shuffle of a hash and four numbers for each window.
-
-    Matches are then extended word by word against that instance, to the left and to the
-    right, until the words differ or a text ends: what is to be removed is the longest equal
-    run, whatever line breaks it holds. It is told as a passage, and the 31
-    words of it that were found first as a window. The instance that keep_doc_id and
+    is too low to show. Here every run of min_words words is a sub-paragraph, and one band of
+    one slot its signature: the least hash of its 8-word shingles. Equal runs have the same
+    one, so that no passage of min_words or more is missed. As a minimum lasts over many
+    overlapping runs, about one word in 22 is drawn. Each shingle drawn is keyed with the
+    half of the run's other words that follow it, and with the half that go before, one of
+    which lies inside the passage wherever in it the shingle is. Sub-paragraphs of equal keys
+    match the first of them by doc_id and place, and from the third instance in one text on
+    the one before it, so that a text of equal lines gives few runs. One shuffle of a hash and
+    three numbers for each key.
+
+    Matches are verified and extended word by word against that instance, to the left and to
+    the right, until the words differ or a text ends: what is to be removed is the longest
+    equal run, whatever line breaks it holds. A run may so have fewer than min_words words,
+    but at least those of a key: (min_words + 8) / 2. The instance that keep_doc_id and
     keep_start name may be removed in turn for a still earlier one; the first of all stays.
+    A shingle that comes again within 8 words is drawn once: text that repeats itself at so
+    short a distance is left to the quality rules.
     """
+    if min_words < 2:
+        raise ValueError("min_words must be 2 or more")
+    run = min(RUN, max(1, min_words // 2))
+    size = run + (min_words - run) // 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for w in _words.blocks(batch.column(1), spans=True):
-                key, a, z = _windows(w)
+                key, a = _windows(w, min_words, run)
                 if len(key):
                     row = np.searchsorted(w.starts, a, side="right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[w.first + row]), pa.array(_tags(w)[row]), pa.array((a - w.starts[row]).astype(np.int32)), pa.array((z - a).astype(np.int32))], ["key", "doc_id", "tag", "at", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[w.first + row]), pa.array(_tags(w)[row]), pa.array((a - w.starts[row]).astype(np.int32))], ["key", "doc_id", "tag", "at"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in by_key(batches, "key"):
             first = np.repeat(starts[:-1], np.diff(starts))
-            key, doc, tag, at, words = (t.column(c).to_numpy() for c in ("key", "doc_id", "tag", "at", "words"))
+            key, doc, tag, at = (t.column(c).to_numpy() for c in ("key", "doc_id", "tag", "at"))
             rest = np.flatnonzero((doc != doc[first]) | (tag != tag[first]) | (at != at[first]))
             if len(rest):
                 # rows of equal doc_id and text give the same window again and again
@@ -142,14 +166,14 @@ def passages(docs: DataFrame) -> DataFrame:
                 rest = rest[new[rest]]
                 two = np.maximum(rest - 2, first[rest])
                 head = np.where((doc[two] == doc[rest]) & (tag[two] == tag[rest]) & (rest - 2 >= first[rest]), rest - 1, first[rest])
-                columns = {"doc_id": doc[rest], "tag": tag[rest], "at": at[rest], "words": words[rest], "cluster": key[rest], "keep_doc_id": doc[head], "keep_tag": tag[head], "keep_at": at[head]}
+                columns = {"doc_id": doc[rest], "tag": tag[rest], "at": at[rest], "cluster": key[rest], "keep_doc_id": doc[head], "keep_tag": tag[head], "keep_at": at[head]}
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    found = named.mapInArrow(scan, "key long, doc_id long, tag int, at int, words int")
+    found = named.mapInArrow(scan, "key long, doc_id long, tag int, at int")
     ordered = found.repartition("key").sortWithinPartitions("key", "doc_id", "tag", "at")
-    matched = ordered.mapInArrow(mark, "doc_id long, tag int, at int, words int, cluster long, keep_doc_id long, keep_tag int, keep_at int")
-    return _extended(named, _runs(matched))
+    matched = ordered.mapInArrow(mark, "doc_id long, tag int, at int, cluster long, keep_doc_id long, keep_tag int, keep_at int")
+    return _extended(named, _runs(matched, size))
 
 
 def _tags(w: _words.Words) -> np.ndarray:
@@ -157,18 +181,18 @@ def _tags(w: _words.Words) -> np.ndarray:
     return (_words.sequence_hashes(w.hashes, w.starts)[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _runs(matched: DataFrame) -> DataFrame:
-    """Matches that overlap at the same distance from their first instance, joined to runs of words at .. to - 1."""
+def _runs(matched: DataFrame, size: int) -> DataFrame:
+    """Matches of `size` words that overlap at the same distance from their first instance, joined to runs of words at .. to - 1."""
     place = ("doc_id", "tag", "keep_doc_id", "keep_tag", "shift")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in by_key(batches, "doc_id"):
-            flat = {c: t.column(c).to_numpy() for c in (*place, "at", "words", "cluster")}
+            flat = {c: t.column(c).to_numpy() for c in (*place, "at", "cluster")}
             new = np.ones(t.num_rows, dtype=bool)
             new[1:] = np.any([flat[c][1:] != flat[c][:-1] for c in place], axis=0)
             lane = np.cumsum(new) << 33
             at = flat["at"] + lane
-            upto = np.maximum.accumulate(at + flat["words"])
+            upto = np.maximum.accumulate(at + size)
             new[1:] |= at[1:] > upto[:-1]
             opens = np.flatnonzero(new)
             last = np.append(opens[1:], t.num_rows) - 1
@@ -176,7 +200,7 @@ def _runs(matched: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
     far = matched.withColumn("shift", F.col("at").cast("long") - F.col("keep_at"))
-    ordered = far.select(*place, F.col("at").cast("long").alias("at"), "words", "cluster").repartition("doc_id").sortWithinPartitions(*place, "at")
+    ordered = far.select(*place, F.col("at").cast("long").alias("at"), "cluster").repartition("doc_id").sortWithinPartitions(*place, "at")
     merged = ordered.mapInArrow(merge, "doc_id long, tag int, keep_doc_id long, keep_tag int, shift long, at long, cluster long, to long")
     return cut(merged.withColumn("run", F.monotonically_increasing_id()))
 
@@ -187,28 +211,24 @@ def _extended(named: DataFrame, runs: DataFrame) -> DataFrame:
     Each end of a run asks both texts for the words beyond it, 32 at first; ends that are
     equal so far ask for 16 times as many from where they have come, and so on.
     """
-    ends = [runs.select("run", F.lit(side).alias("side"), "doc_id", "tag", F.expr(spot).alias("spot"), "keep_doc_id", "keep_tag", F.expr(f"{spot} - shift").alias("keep_spot"), *[F.lit(-1).cast("long").alias(c) for c in SEED]) for side, spot in ((0, "at"), (1, "to - 1"))]
+    ends = [runs.select("run", F.lit(side).alias("side"), "doc_id", "tag", F.expr(spot).alias("spot"), "keep_doc_id", "keep_tag", F.expr(f"{spot} - shift").alias("keep_spot")) for side, spot in ((0, "at"), (1, "to - 1"))]
     todo, ready, ask = ends[0].union(ends[1]), [], ASK
     while True:
         met = cut(_met(named, todo, ask))
         ready.append(met.where("not more"))
-        todo = met.where("more").select("run", "side", "doc_id", "tag", "spot", "keep_doc_id", "keep_tag", "keep_spot", *SEED)
+        todo = met.where("more").select("run", "side", "doc_id", "tag", "spot", "keep_doc_id", "keep_tag", "keep_spot")
         if todo.isEmpty():
             break
         ask *= 16
     settled = ready[0]
     for more in ready[1:]:
         settled = settled.union(more)
-    full = F.struct(F.lit("passage").alias("kind"), F.col("offset").alias("start"), F.col("keep_offset").alias("keep_start"))
-    part = F.struct(F.lit("window").alias("kind"), F.col("seed").alias("start"), F.col("keep_seed").alias("keep_start"))
-    left = settled.where("side = 0").select("run", "doc_id", "tag", "keep_doc_id", "keep_tag", F.col("spot").alias("first"), "seed_end", F.explode(F.array(full, part)).alias("span"))
+    left = settled.where("side = 0").select("run", "doc_id", "tag", "keep_doc_id", "keep_tag", F.col("spot").alias("first"), F.col("offset").alias("start"), F.col("keep_offset").alias("keep_start"))
     right = settled.where("side = 1").select("run", F.col("spot").alias("last"), F.col("offset").alias("end"))
-    whole = left.join(right, "run").join(runs.select("run", "cluster"), "run")
-    passage = F.col("span.kind") == "passage"
-    whole = whole.select("doc_id", "tag", "span.*", F.when(passage, F.col("end")).otherwise(F.col("seed_end")).alias("end"), F.when(passage, F.col("last") - F.col("first") + 1).otherwise(F.lit(WINDOW)).alias("words"), "keep_doc_id", "keep_tag", "cluster")
-    # runs of one passage parted by a stretch without anchors have grown to the same span
-    once = whole.groupBy("doc_id", "tag", "kind", "start", "end", "words", "keep_doc_id", "keep_tag", "keep_start").agg(F.min("cluster").alias("cluster"))
-    return once.select("doc_id", "start", "end", "kind", "words", "cluster", "keep_doc_id", "keep_start")
+    whole = left.join(right, "run").join(runs.select("run", "cluster"), "run").withColumn("words", F.col("last") - F.col("first") + 1)
+    # runs of one passage parted by a stretch without keys have grown to the same span
+    once = whole.groupBy("doc_id", "tag", "start", "end", "words", "keep_doc_id", "keep_tag", "keep_start").agg(F.min("cluster").alias("cluster"))
+    return once.select("doc_id", "start", "end", F.lit("passage").alias("kind"), "words", "cluster", "keep_doc_id", "keep_start")
 
 
 def _met(named: DataFrame, ends: DataFrame, ask: int) -> DataFrame:
@@ -231,7 +251,7 @@ def _met(named: DataFrame, ends: DataFrame, ask: int) -> DataFrame:
                             words, offsets = w.hashes[at : min(high, at + ask + 1)], w.end[at : min(high, at + ask + 1)]
                         else:
                             words, offsets = w.hashes[max(low, at - ask) : at + 1][::-1], w.begin[max(low, at - ask) : at + 1][::-1]
-                        for name, x in zip(rows, (ids[w.first + r], tag[k], spot[k], side[k], words.tobytes(), np.append(offsets, w.end[min(high, at + WINDOW) - 1]).astype(np.int64).tobytes()), strict=True):
+                        for name, x in zip(rows, (ids[w.first + r], tag[k], spot[k], side[k], words.tobytes(), offsets.astype(np.int64).tobytes()), strict=True):
                             rows[name].append(x)
                 if rows["spot"]:
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
@@ -239,8 +259,7 @@ def _met(named: DataFrame, ends: DataFrame, ask: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = {c: batch.column(c).to_numpy().copy() for c in ("run", "side", "doc_id", "tag", "spot", "keep_doc_id", "keep_tag", "keep_spot", *SEED)}
-            untold = numbers["seed"] < 0
+            numbers = {c: batch.column(c).to_numpy().copy() for c in ("run", "side", "doc_id", "tag", "spot", "keep_doc_id", "keep_tag", "keep_spot")}
             equal, offset, keep_offset = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             for i, (mine, kept, at, keep_at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hashes", "keep_hashes", "offsets", "keep_offsets")), strict=True)):
                 n = min(len(mine), len(kept)) // 8
@@ -248,9 +267,6 @@ def _met(named: DataFrame, ends: DataFrame, ask: int) -> DataFrame:
                 equal[i] = n = int(apart[0]) if len(apart) else n
                 if n:
                     offset[i], keep_offset[i] = np.frombuffer(at, np.int64)[n - 1], np.frombuffer(keep_at, np.int64)[n - 1]
-                    if untold[i]:
-                        own = np.frombuffer(at, np.int64)
-                        numbers["seed"][i], numbers["keep_seed"][i], numbers["seed_end"][i] = own[0], np.frombuffer(keep_at, np.int64)[0], own[-1]
             out = np.where(numbers["side"] == 1, 1, -1) * (equal - 1)
             numbers["spot"] += out
             numbers["keep_spot"] += out
@@ -264,57 +280,74 @@ def _met(named: DataFrame, ends: DataFrame, ask: int) -> DataFrame:
     given = cut(given.dropDuplicates(["doc_id", "tag", "spot", "side"]))
     kept = given.select(F.col("doc_id").alias("keep_doc_id"), F.col("tag").alias("keep_tag"), F.col("spot").alias("keep_spot"), "side", F.col("hashes").alias("keep_hashes"), F.col("offsets").alias("keep_offsets"))
     both = ends.join(given, ["doc_id", "tag", "spot", "side"]).join(kept, ["keep_doc_id", "keep_tag", "keep_spot", "side"])
-    return both.mapInArrow(compare, "run long, side int, doc_id long, tag int, spot long, keep_doc_id long, keep_tag int, keep_spot long, seed long, keep_seed long, seed_end long, offset long, keep_offset long, more boolean")
+    return both.mapInArrow(compare, "run long, side int, doc_id long, tag int, spot long, keep_doc_id long, keep_tag int, keep_spot long, offset long, keep_offset long, more boolean")
 
 
-def _windows(w: _words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first word, word after the last) of the windows of all anchors."""
+def _windows(w: _words.Words, min_words: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, first word) of the keys of the shingles drawn: the least of each run of min_words words."""
     n = len(w.hashes)
     none = np.zeros(0, np.int64)
-    if n <= SIDE + LONG:
-        return none, none, none
-    runs = np.zeros(n - ANCHOR + 1, dtype=np.uint64)
-    for k in range(ANCHOR):
-        runs += w.hashes[k : n - ANCHOR + 1 + k] * np.uint64((0x9FB21C651E98DF25 * (2 * k + 1)) % 2**64 | 1)
-    mix(runs)
-    m = len(runs)
-    least = np.ones(m, dtype=bool)
-    least[:REACH] = least[m - REACH :] = False
-    mid = runs[REACH : m - REACH]
-    inner = least[REACH : m - REACH]
-    for k in range(1, REACH + 1):
-        inner &= mid < runs[REACH - k : m - REACH - k]
-        inner &= mid <= runs[REACH + k : m - REACH + k]
-    at = np.flatnonzero(least)
-    row = np.searchsorted(w.starts, at, side="right") - 1
-    low, high = w.starts[row], w.starts[row + 1]
+    m, wide, half = n - run + 1, min_words - run + 1, (min_words - run) // 2
+    if n < min_words:
+        return none, none
+    shingle = np.zeros(m, dtype=np.uint64)
+    for k in range(run):
+        shingle += w.hashes[k : m + k] * np.uint64((0x9FB21C651E98DF25 * (2 * k + 1)) % 2**64 | 1)
+    mix(shingle)
+    # the place in the low bits: a minimum tells where it is, and no two are equal
+    place = np.uint64((1 << int(m).bit_length()) - 1)
+    value = (shingle & ~place) | np.arange(m, dtype=np.uint64)
+    most = np.uint64(2**64 - 1)
+    for k in range(1, min(PERIOD, m - 1) + 1):
+        value[k:][shingle[k:] == shingle[:-k]] = most
+    least = _sliding_least(value, wide)
+    row = w.row_of_word()
+    whole = row[: m - wide + 1] == row[min_words - 1 :]
+    least = least[whole & (least != most)]
+    if not len(least):
+        return none, none
+    at = (least[np.append(True, least[1:] != least[:-1])] & place).astype(np.int64)
+    low, high = w.starts[row[at]], w.starts[row[at] + 1]
     power, inverse = _words._power(n + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hashes * power[:n], dtype=np.uint64)))
-    keys, begins, ends = [], [], []
-    for salt, (left, right) in enumerate(((REACH, LONG), (LONG, SIDE))):
-        ok = (at - left >= low) & (at + right < high)
-        a, z = at[ok] - left, at[ok] + right + 1
+    keys, begins = [], []
+    for salt, left in enumerate((0, half)):
+        a = at - left
+        z = a + run + half
+        inside = (a >= low) & (z <= high)
+        a, z = a[inside], z[inside]
         keys.append(mix((total[z] - total[a]) * inverse[a] + np.uint64(salt)))
         begins.append(a)
-        ends.append(z)
-    return signed(np.concatenate(keys)), np.concatenate(begins), np.concatenate(ends)
+    return signed(np.concatenate(keys)), np.concatenate(begins)
+
+
+def _sliding_least(value: np.ndarray, wide: int) -> np.ndarray:
+    """The least of each `wide` values in a row: of what is left of one cell and what has come of the next."""
+    cells = -(-len(value) // wide)
+    padded = np.full(cells * wide, 2**64 - 1, dtype=np.uint64)
+    padded[: len(value)] = value
+    grid = padded.reshape(cells, wide)
+    come = np.minimum.accumulate(grid, axis=1).ravel()
+    left = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    count = len(value) - wide + 1
+    return np.minimum(left[:count], come[wide - 1 : wide - 1 + count])
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, paragraph_words: int = PARAGRAPH_WORDS) -> DataFrame:
     """(doc_id, start, end, kind, words, cluster, keep_doc_id, keep_start): all spans to remove.
 
     The union of paragraphs() and passages(), told apart by kind; start and end are
-    character offsets, spans of a document may overlap
-    (a window lies within its passage), and the kept first instance of a
-    cluster is named by keep_doc_id and keep_start. A passage of min_words repeated within
-    one document counts as well. Repeated rows of one doc_id are one document: equal
-    spans are told once and the first row's are kept.
+    character offsets, spans of a document may overlap, and the kept first instance of a
+    cluster is named by keep_doc_id and keep_start. Paragraphs have at least paragraph_words
+    words, passages are sought by runs of min_words. A passage repeated within one document
+    counts as well. Repeated rows of one doc_id are one document: equal spans are told once
+    and the first row's are kept.
 
     Rows with null doc_ids or texts, and texts of fewer words, have no spans. Only doc_id
     and text are read.
     """
-    one = paragraphs(docs, min_words, threshold).withColumn("kind", F.lit("paragraph"))
-    two = passages(docs)
+    one = paragraphs(docs, paragraph_words, threshold).withColumn("kind", F.lit("paragraph"))
+    two = passages(docs, min_words)
     columns = ("doc_id", "start", "end", "kind", "words", "cluster", "keep_doc_id", "keep_start")
     return one.select(*columns).unionByName(two.select(*columns)).where("doc_id <> keep_doc_id or start <> keep_start")
 
