@@ -101,7 +101,8 @@ def _paragraphs(w: _words.Words, min_words: int) -> tuple[np.ndarray, np.ndarray
         first = np.flatnonzero(heads)
         last = np.append(first[1:], n)
         row = np.searchsorted(w.starts, first, side="right") - 1
-        gaps = np.add.reduceat(np.append(w.gap, False).astype(np.int64), w.starts[row])
+        upto = np.concatenate(([0], np.cumsum(w.gap)))
+        gaps = upto[w.starts[row + 1]] - upto[w.starts[row]]
         lines = np.add.reduceat(w.newline.astype(np.int64), first)
         whole = (lines > 1) & (gaps > 0)
         opens, ends = np.concatenate([opens, first[whole]]), np.concatenate([ends, last[whole]])
