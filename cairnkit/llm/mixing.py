@@ -9,7 +9,6 @@ from cairnkit.llm._util import cut, fresh, small
 
 BLOCK_TOKENS = 8192
 ALPHA = 0.7
-MAX_EPOCHS = 4
 SEED = 17
 RANGE_ROWS = 1 << 16
 _TURN = 2654435769  # 2**32 / golden ratio
@@ -31,7 +30,7 @@ def golden_point(i: str) -> str:
     return f"(((({i}) div 1048576) * {_TURN} % {_UNIT}) * 1048576 + (({i}) % 1048576) * {_TURN}) % {_UNIT}"
 
 
-def plan(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, alpha: float = ALPHA, weights: dict[str, float] | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, tokens_col: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+def plan(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, alpha: float = ALPHA, weights: dict[str, float] | None = None, max_epochs: float | None = None, seed: int = SEED, tokens_col: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mixed order: (slot, source, epoch, block, piece, doc_id, doc_tokens, from_token, to_token).
 
     Each source's documents are shuffled by a hash of seed and doc_id, laid end to end and
@@ -44,12 +43,15 @@ def plan(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, alpha: float = ALPHA
     next epoch.
 
     Target weights are proportional to tokens ** alpha, or to `weights` by source (others
-    have none and are left out). No source gets more weight than max_epochs times its share
-    of what the most abundant source, relative to its weight, is given for one epoch.
+    have none and are left out), and hold however often that makes a small source come. Only
+    if max_epochs is given, no source gets more weight than that many times its blocks. A
+    source whose share is below 2 ** -32 can't be scheduled and raises ValueError.
 
     Null sources form one source of their own. Null texts and texts without tokens have
     nothing to mix and aren't in the plan; null doc_ids and repeated rows are, as rows of
-    their own. Only doc_id, source and text (or tokens_col) are read; texts aren't shuffled.
+    their own. An empty table gives an empty plan. Tokens are words, unless tokens_col names
+    a column of counts. Only doc_id, source and text (or tokens_col) are read; texts aren't
+    shuffled.
     """
     measure = F.col(tokens_col).cast("long") if tokens_col else word_count(F.col("text"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), measure.alias("n")).where("n > 0")
@@ -79,7 +81,7 @@ def plan(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, alpha: float = ALPHA
     return both.select("slot", "source", "epoch", "block", "piece", "doc_id", "doc_tokens", "from_token", "to_token")
 
 
-def _shares(parts: DataFrame, block_tokens: int, alpha: float, weights: dict[str, float] | None, max_epochs: int) -> DataFrame:
+def _shares(parts: DataFrame, block_tokens: int, alpha: float, weights: dict[str, float] | None, max_epochs: float | None) -> DataFrame:
     """(source, blocks, lo, hi, slots): each source's part of 0 .. 2**32 and the number of slots."""
     by_source = parts.groupBy("source").agg(F.sum("part").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / block_tokens))
     if weights is None:
@@ -88,14 +90,19 @@ def _shares(parts: DataFrame, block_tokens: int, alpha: float, weights: dict[str
         want = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]), F.col("source")), F.lit(0.0))
     everything = Window.partitionBy(F.lit(0))
     raw = by_source.withColumn("want", want).where("want > 0").withColumn("need", F.max(F.col("blocks") / F.col("want")).over(everything))
-    raw = raw.withColumn("given", F.least(F.col("want") * F.col("need"), F.col("blocks") * F.lit(float(max_epochs))))
+    given = F.col("want") * F.col("need")
+    raw = raw.withColumn("given", given if max_epochs is None else F.least(given, F.col("blocks") * F.lit(float(max_epochs))))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_first())
     raw = raw.withColumn("upto", F.sum("given").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.max("upto").over(everything))
     raw = raw.withColumn("hi", F.when(F.col("upto") == F.col("all"), F.lit(_UNIT)).otherwise(F.floor(F.col("upto") / F.col("all") * _UNIT)).cast("long"))
     raw = raw.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0)).cast("long"))
     # by then the points must have come to each source often enough; _schedule cuts off the rest
-    slots = F.max(F.ceil((F.col("blocks") + 4 + 2 * F.log2(F.col("blocks") + 1)) * F.lit(float(_UNIT)) / (F.col("hi") - F.col("lo")))).over(everything)
-    return cut(raw.where("hi > lo").select("source", "blocks", "lo", "hi", slots.cast("long").alias("slots")))
+    slots = F.max(F.ceil((F.col("blocks") + 4 + 2 * F.log2(F.col("blocks") + 1)) * F.lit(float(_UNIT)) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))).over(everything)
+    lost = (F.col("given") * _UNIT < F.col("all")) | (F.col("hi") <= F.col("lo"))
+    shares = cut(raw.select("source", "blocks", "lo", "hi", slots.cast("long").alias("slots"), lost.alias("lost")))
+    if none := shares.where("lost").first():
+        raise ValueError(f"the weight of source {none.source!r} is below 2 ** -32 of all")
+    return shares.drop("lost")
 
 
 def _schedule(shares: DataFrame) -> DataFrame:
@@ -117,15 +124,19 @@ def _schedule(shares: DataFrame) -> DataFrame:
     return turn.select("slot", "source", F.floor(F.col("k") / F.col("blocks")).alias("epoch"), (F.col("k") % F.col("blocks")).alias("block"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, counted: DataFrame | None = None, **options) -> DataFrame:
     """docs in the proportions of plan(), whole documents with their columns as they were.
 
+    The plan is made from docs, or from `counted`: its doc_id, source and tokens_col.
+
     A document comes once for every time that the block where it begins is scheduled: at
     least once, more often where its source is repeated. Rows without tokens (null or blank
     texts) come once, unless `weights` leaves their source out. Rows that share a doc_id and
-    source, null ones too, come as often as those rows do on average, rounded up.
+    source, null ones too, come as often as those rows do on average, rounded up. An empty
+    table stays empty. Rows come where they are read: the plan's slots decide how often, and
+    a trainer that wants their order too takes it from plan().
     """
-    order = plan(docs, **options)
+    order = plan(docs if counted is None else counted, **options)
     name, source, count, turn = (fresh(docs, c) for c in ("id", "from_source", "times", "turn"))
     times = order.where("from_token = 0").groupBy(F.col("doc_id").alias(name), F.col("source").alias(source)).agg(F.ceil(F.count("*") / F.count_if(F.col("epoch") == 0)).cast("int").alias(count))
     if options.get("weights") is not None:
@@ -136,19 +147,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return joined.select(*[docs[c] for c in docs.columns], again).drop(turn)
 
 
-def plan_sql(block_tokens: int = BLOCK_TOKENS, alpha: float = ALPHA, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:
-    """plan() over the documents table for DuckDB, with its default token measure."""
+def plan_sql(counted: str, block_tokens: int = BLOCK_TOKENS, alpha: float = ALPHA, seed: int = SEED) -> str:
+    """plan() for DuckDB; `counted` is SQL for CTEs that end in counted (doc_id, source, n)."""
     point = golden_point("i").replace(" div ", " // ")
-    return rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(text, '[^ \t\n\r\f]+')) AS n,
-      CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+    return rf"""WITH RECURSIVE {counted}, d AS (SELECT doc_id, source, n,
+      CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM counted),
     p AS (SELECT source, doc_id, n, CAST(sum(n) OVER (PARTITION BY source ORDER BY h, doc_id, n ROWS UNBOUNDED PRECEDING) AS BIGINT) - n AS pos FROM d WHERE n > 0),
     e AS (SELECT source, doc_id, n, pos, unnest(range(pos // {block_tokens}, (pos + n - 1) // {block_tokens} + 1)) AS block FROM p),
     t AS (SELECT source, sum(n) AS tokens, CAST(ceil(sum(n) / {block_tokens}) AS BIGINT) AS blocks, pow(CAST(sum(n) AS DOUBLE), {float(alpha)}) AS want FROM p GROUP BY source),
-    g AS (SELECT *, least(want * max(blocks / want) OVER (), blocks * {float(max_epochs)}) AS given FROM t),
+    g AS (SELECT *, want * max(blocks / want) OVER () AS given FROM t),
     u AS (SELECT *, sum(given) OVER (ORDER BY source NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto FROM g),
     v AS (SELECT source, blocks, CASE WHEN upto = max(upto) OVER () THEN {_UNIT} ELSE CAST(floor(upto / max(upto) OVER () * {_UNIT}) AS BIGINT) END AS hi, upto FROM u),
     w AS (SELECT source, blocks, hi, coalesce(lag(hi) OVER (ORDER BY upto), 0) AS lo FROM v),
-    m AS (SELECT CAST(max(ceil((blocks + 4 + 2 * log2(blocks + 1)) * {float(_UNIT)} / (hi - lo))) AS BIGINT) AS slots FROM w WHERE hi > lo),
+    m AS (SELECT CAST(max(ceil((blocks + 4 + 2 * log2(blocks + 1)) * {float(_UNIT)} / (hi - lo))) AS BIGINT) AS slots FROM w),
     s AS (SELECT i AS slot, {point} AS u FROM (SELECT unnest(range(slots)) AS i FROM m)),
     k AS (SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM s JOIN w ON u >= lo AND u < hi),
     c AS (SELECT slot, source, k // blocks AS epoch, k % blocks AS block FROM k WHERE slot <= (SELECT max(slot) FROM k WHERE k = blocks - 1))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnkit.llm import mixing, near_dedup, orc_tokens, packing, pivot_topk, quality_rules, ring_sharding, substring_dedup, token_counts, warc_audit
+from cairnkit.llm import mixing, near_dedup, orc_tokens, packing, pivot_topk, quality_rules, ring_sharding, substring_dedup, token_counts, tokens, warc_audit
 from cairnkit.llm._util import shared_folder
 
 
@@ -21,8 +21,8 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed order of all documents' token blocks."""
-    return mixing.plan(_table(spark, sf_dir, "documents"))
+    """The mixed order of all documents' blocks of the tokenizer's tokens."""
+    return mixing.plan(token_counts.token_counts(_table(spark, sf_dir, "documents"), keep=["source"]), tokens_col="n_tokens")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +69,11 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op4_warc_merkle": op4_warc_merkle, "op5_quality_rules": op5_quality_rules, "op6_ring_sharding": op6_ring_sharding, "op7_pivot_topk": op7_pivot_topk, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_orc_tokens": op10_orc_tokens}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.plan_sql(), "op4_warc_merkle": warc_audit.audit_sql(), "op7_pivot_topk": pivot_topk.top_k_sql(), "op5_quality_rules": quality_rules.ledger_sql()}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.plan_sql(tokens.counted_sql()),
+    "op3_token_counts": f"WITH RECURSIVE {tokens.counted_sql()} SELECT doc_id, n AS n_tokens FROM counted",
+    "op4_warc_merkle": warc_audit.audit_sql(),
+    "op5_quality_rules": quality_rules.ledger_sql(),
+    "op7_pivot_topk": pivot_topk.top_k_sql(),
+    "op10_orc_tokens": tokens.ids_sql(),
+}

@@ -2,46 +2,39 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnkit.llm import tokens
 from cairnkit.llm.tokens import TOKENIZER, Cache, Vocabulary, chunks
 
 TABLE = 1 << 16
-SUMMARY = 1 << 13
-HELD = 1 << 18
 SLICE = 500
 
 
-def frequent(docs: DataFrame, table: int = TABLE, summary: int = SUMMARY, held: int = HELD) -> DataFrame:
-    """(chunk, count) of up to `table` frequent chunks of all texts, most frequent first.
+def frequent(vocabulary: Vocabulary, table: int = TABLE) -> list[str]:
+    """Up to `table` chunks that are frequent by the vocabulary's own account, the most frequent first.
 
-    Each task counts the chunks of all its texts. When it holds more than `held` it
-    forgets the rarer half (lossy counting), and in the end it passes on its `summary` most
-    frequent, so that what is shuffled are bounded summaries and never the pre-tokens.
-    What is found only makes the lookup fast; counts of tokens don't depend on it.
+    A byte-pair vocabulary is itself a ranking of a large corpus: its entries that begin with
+    a space are the commonest pre-tokens, in the order of their ranks. They are taken as they
+    stand, so that no pass over the texts and no shuffle is needed to find them. What is in
+    the table only makes the lookup fast; counts of tokens don't depend on it.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                for text in batch.column(0).slice(at, SLICE).to_pylist():
-                    seen.update(chunks(text)[1:])
-                    if len(seen) > held:
-                        seen = Counter(dict(seen.most_common(held // 2)))
-        top = [(c, n) for c, n in seen.most_common(summary) if n > 1 and len(c) <= 256]
-        if top:
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top]), pa.array([n for _, n in top])], ["chunk", "count"])
-
-    found = docs.select("text").where("text is not null").mapInArrow(count, "chunk string, count long")
-    return found.groupBy("chunk").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "chunk").limit(table)
+    found = []
+    for raw, _ in sorted(tokens.ranks(vocabulary).items(), key=lambda e: e[1]):
+        if raw[:1] == b" " and len(found) < table:
+            try:
+                chunk = raw[1:].decode()
+            except UnicodeDecodeError:
+                continue
+            if " " not in chunk:
+                found.append(chunk)
+    return found
 
 
 def compact(found: list[str], vocabulary: Vocabulary) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -57,21 +50,24 @@ def expand(packed: tuple[bytes, np.ndarray, np.ndarray]) -> dict[str, int]:
     return {raw[a:z].decode(): n for a, z, n in zip(begins.tolist(), ends.tolist(), lengths.tolist(), strict=True)}
 
 
-def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, table: int = TABLE) -> DataFrame:
-    """(doc_id, n_tokens), a row for each row of docs.
+def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, table: int = TABLE, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_tokens, and the columns to keep), a row for each row of docs.
 
     n_tokens is exactly the number of ids that the tokenizer gives for the whole text, with
     special tokens taken as ordinary text. The lengths of frequent chunks come from a compact
     table of at most `table` entries that is broadcast; the others are encoded once in a
-    worker and remembered in its cache of bounded size. The texts stay where they are read.
+    worker and remembered in its cache of bounded size. One pass, no shuffle: the texts stay
+    where they are read, and pre-tokens never leave their task.
 
     A null text has a null count, an empty text 0. Null doc_ids and repeated rows have a row
-    each. Only doc_id and text are read.
+    each; an empty table gives none. doc_id must be a number, or text that is one. Columns
+    other than doc_id, text and those to keep aren't read.
     """
     spark = docs.sparkSession
     vocabulary = Vocabulary.read(tokenizer)
-    packed = compact([r.chunk for r in frequent(docs, table).collect()], vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary, packed))
+    shared = spark.sparkContext.broadcast((vocabulary, compact(frequent(vocabulary, table), vocabulary)))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    names = ["doc_id", "n_tokens", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, frequent_lengths = shared.value
@@ -89,6 +85,6 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, table: int = TABLE
                     else:
                         first, *rest = chunks(text)
                         counts.append(len(encode(first)) + sum(map(get, rest)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), *part.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return slim.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), *slim.schema.fields[2:]]))

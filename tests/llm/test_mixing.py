@@ -55,6 +55,19 @@ def test_prefixes_hold_the_weights(spark):
         assert all(abs(share[s] - w * n) <= 3 for s, w in {"a": 0.5, "b": 0.3, "c": 0.2}.items())
 
 
+def test_weights_hold_however_often_a_small_source_comes(spark):
+    d = docs(spark, {"x": 20, "y": 980})
+    plan = mixing.plan(d, block_tokens=50, weights={"x": 0.5, "y": 0.5}).select("slot", "source", "epoch").distinct().toPandas()
+    share = plan.source.value_counts(normalize=True)
+    assert abs(share["x"] - 0.5) < 0.02 and plan[plan.source == "x"].epoch.max() > 20 and plan[plan.source == "y"].epoch.max() <= 1
+    capped = mixing.plan(d, block_tokens=50, weights={"x": 0.5, "y": 0.5}, max_epochs=4).select("slot", "source").distinct().toPandas()
+    assert capped.source.value_counts(normalize=True)["x"] < 0.15
+    with pytest.raises(ValueError, match="below 2"):
+        mixing.plan(d, weights={"x": 1.0, "y": 1e-12})
+    n = Counter(r.source for r in mixing.mix(d, block_tokens=50, weights={"x": 0.5, "y": 0.5}).collect())
+    assert 0.8 < n["x"] / n["y"] < 1.25
+
+
 def test_plan_does_not_depend_on_the_ranges(spark):
     d = docs(spark, {"a": 200, "b": 50})
     assert rows(mixing.plan(d, block_tokens=16, range_rows=7)) == rows(mixing.plan(d, block_tokens=16))

@@ -1,11 +1,13 @@
 import random
 
+import duckdb
 import pyarrow.orc as orc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from cairnkit.llm import orc_tokens, token_counts, tokens
+from cairnkit.llm import orc_tokens, queries, token_counts, tokens
 from tests.conftest import rows
 
 V = tokens.Vocabulary.read()
@@ -43,14 +45,28 @@ def test_token_counts_are_exact(spark, data):
     assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
-def test_frequent_chunks_are_counted_over_all_texts(spark):
-    docs = spark.createDataFrame([("x " + "often " * (i % 7) + f"rare{i} z",) for i in range(300)], "text string").repartition(4)
-    got = {r.chunk: r["count"] for r in token_counts.frequent(docs).collect()}
-    assert got["often"] == sum(i % 7 for i in range(300)) and got["z"] == 300 and not any(c.startswith("rare") for c in got)
-    few = {r.chunk for r in token_counts.frequent(docs, held=50).collect()}
-    assert {"often", "z"} <= few
+def test_frequent_chunks_come_from_the_vocabulary_without_a_shuffle(spark, data):
+    found = token_counts.frequent(V)
+    assert found[0] == "the"[: len(found[0])] and 10_000 < len(found) <= token_counts.TABLE and len(token_counts.frequent(V, 7)) == 7
     packed = token_counts.compact(["often", "é漢", ""], V)
     assert token_counts.expand(packed) == {c: len(ENCODE(" " + c)) for c in ["often", "é漢", ""]}
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("source", F.lit("s"))
+    counted = token_counts.token_counts(docs, keep=["source"])
+    assert counted.columns == ["doc_id", "n_tokens", "source"] and counted.where("source = 's'").count() == len(data)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_sql_gives_the_same_counts_and_ids(spark, data, tmp_path):
+    con = duckdb.connect()
+    odd = [(1000 + k, t) for k, t in enumerate(["a  b", "a \n  b", " \n", "x\u00a0\u2003y ", "don't we'll", "  lead", "tail  ", "1 23 ٣٤", "\x1c a"])]
+    spark.createDataFrame([(i, t, "s") for i, t in [*data, *odd] if t is None or len(t) < 5000], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("op3_token_counts", "op10_orc_tokens"):
+        ran = con.execute(queries.ORACLES[name])
+        names = [d[0] for d in ran.description]
+        want = sorted(map(str, ran.fetchall()))
+        assert want == sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, str(tmp_path)).select(*names).collect())
 
 
 def test_orc_round_trip_and_metadata(spark, data, tmp_path):
