@@ -81,3 +81,33 @@ def test_the_query_packs_tokens_of_the_tokenizer(spark, tmp_path):
     want = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect() if r.n_tokens}
     assert (got.to_token - got.from_token).groupby(got.doc_id).sum().to_dict() == want
     assert want[1] > 8192 and (got.bin_tokens <= got.bin_length).all()
+
+
+def test_pack_ids_holds_every_token_of_every_text(spark):
+    from cairnkit.llm import tokens
+
+    rng = random.Random(5)
+    encode = tokens.encoding(tokens.Vocabulary.read()).encode_ordinary
+    data = [(i, " ".join(rng.choice(["the", "qux", "漢", "9,"]) for _ in range(rng.choice([1, 4, 60, 300])))) for i in range(200)] + [(None, "no id"), (None, "no id too"), (7, "again"), (7, "again"), (300, None), (301, ""), (302, "  ")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = packing.pack_ids(docs, (16, 64), shard_pieces=50).toPandas()
+    assert got.bin.nunique() > 5 and (got.to_token - got.from_token == got.token_ids.map(len)).all() and (got.token_ids.map(len) <= 64).all()
+    whole = {}
+    for r in got.sort_values("from_token").itertuples():
+        if r.doc_id == r.doc_id and r.doc_id != 7:
+            whole.setdefault(int(r.doc_id), []).extend(r.token_ids)
+    assert whole == {i: encode(t) for i, t in data if i not in (None, 7) and t}
+    assert sorted(got[got.doc_id.isna()].token_ids.map(list)) == sorted(map(encode, ("no id", "no id too")))
+    assert sum(len(x) for x in got[got.doc_id == 7].token_ids) == sum(len(encode(t)) for i, t in data if i == 7)
+    for _, part in got.groupby("bin"):
+        part = part.sort_values("offset")
+        assert part.offset.tolist() == part.token_ids.map(len).cumsum().shift(fill_value=0).tolist() and part.token_ids.map(len).sum() == part.bin_tokens.iloc[0] <= part.bin_length.iloc[0]
+    assert packing.pack_ids(docs.limit(0)).count() == 0
+
+
+def test_rows_alike_are_spread_over_shards(spark):
+    docs = spark.createDataFrame([(None, "a b c")] * 900 + [(5, "d e")] * 900 + [(i, "f") for i in range(100)], "doc_id long, text string")
+    for got in (packing.pack(docs, (8,), shard_pieces=100), packing.pack_ids(docs, (8,), shard_pieces=100)):
+        rows = got.toPandas()
+        assert (rows.to_token - rows.from_token).groupby(rows.doc_id.isna()).size().sum() == 1900
+        assert (rows.bin // 2**32).value_counts().max() < 250
