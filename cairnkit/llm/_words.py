@@ -30,7 +30,7 @@ _powers: list[np.ndarray] = []
 
 @dataclass
 class Words:
-    """The words of some rows: starts has each row's first word, and the end."""
+    """The words of some rows: starts has each row's first word, and the end; raw and offsets are their bytes."""
 
     first: int
     rows: int
@@ -40,6 +40,8 @@ class Words:
     end: np.ndarray
     newline: np.ndarray | None
     gap: np.ndarray | None
+    raw: np.ndarray
+    offsets: np.ndarray
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.starts))
@@ -103,7 +105,7 @@ def _block(raw: np.ndarray, offsets: np.ndarray, first: int, valid: np.ndarray |
     begin = np.flatnonzero(opens)
     if len(begin) == 0:
         none = np.zeros(0, np.int64)
-        return Words(first, rows, np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), none, none, *[np.zeros(0, bool) if spans else None] * 2)
+        return Words(first, rows, np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), none, none, *[np.zeros(0, bool) if spans else None] * 2, raw, offsets)
     starts_in = np.flatnonzero(opens[at])
     power, inverse = _power(len(at) + 1)
     terms = folded[at].astype(np.uint64)
@@ -117,7 +119,7 @@ def _block(raw: np.ndarray, offsets: np.ndarray, first: int, valid: np.ndarray |
     owner = np.repeat(np.arange(rows), np.diff(starts))
     if not spans:
         begin = begin - offsets[:-1][owner]
-        return Words(first, rows, hashes, starts, begin, begin + lengths, None, None)
+        return Words(first, rows, hashes, starts, begin, begin + lengths, None, None, raw, offsets)
     line = np.cumsum(raw == 10)[begin]
     newline = np.ones(len(begin), dtype=bool)
     newline[1:] = line[1:] != line[:-1]
@@ -127,7 +129,21 @@ def _block(raw: np.ndarray, offsets: np.ndarray, first: int, valid: np.ndarray |
     newline[heads], gap[heads] = True, False
     before = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
     base = before[offsets[:-1]][owner]
-    return Words(first, rows, hashes, starts, before[begin] - base, before[begin + lengths] - base, newline, gap)
+    return Words(first, rows, hashes, starts, before[begin] - base, before[begin + lengths] - base, newline, gap, raw, offsets)
+
+
+#: SQL regular expression of a word, and the capitals that are folded with what they become.
+_BEYOND = r"A-Za-z0-9\x{80}-\x{2FFF}\x{E000}-\x{10FFFF}"
+WORD_SQL = rf"[\x{{3000}}-\x{{D7FF}}][{_BEYOND}]*|[{_BEYOND}]+"
+CAPITALS = "".join(map(chr, [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
+
+
+def runs(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes, as they are."""
+    power, inverse = _power(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
+    return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
 
 
 def shingles(hashes: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -37,8 +37,10 @@ def op4_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of every document with each policy's decision."""
-    return quality_rules.decide(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+    """The ledger of every document with each policy's decision; words are flagged by the labels."""
+    docs = _table(spark, sf_dir, "documents")
+    flagged = quality_rules.flagged_words(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.decide(quality_rules.ledger(docs, flagged))
 
 
 def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

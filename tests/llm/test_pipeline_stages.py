@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline as C
 from cairnkit.llm import quality_rules
+from cairnkit.llm.tokens import Vocabulary, encoding
 from tests.conftest import rows
 from tests.llm.test_quality_rules import model
 
@@ -65,10 +66,11 @@ def test_stages_one_by_one(spark, corpus):
     assert all(x.columns == columns for x in (kept, unique, cut, mixed))
 
     packed = C.packed_sequences(spark, mixed, folder).toPandas()
-    tokens = Counter()
+    tokens, encode = Counter(), encoding(Vocabulary.read()).encode_ordinary
     for r in mixed.collect():
-        tokens[r.doc_id] += len(r.text.split())
+        tokens[r.doc_id] += len(encode(r.text))
     assert (packed.to_token - packed.from_token).groupby(packed.doc_id).sum().to_dict() == dict(tokens)
+    assert packed.token_ids.map(len).groupby(packed.doc_id).sum().to_dict() == dict(tokens)
 
 
 def test_run_is_the_stages_in_order_and_repeatable(spark, corpus):
