@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnkit.llm import mixing, near_dedup, orc_tokens, packing, pivot_topk, quality_rules, ring_sharding, substring_dedup, token_counts, tokens, warc_audit
-from cairnkit.llm._util import shared_folder
+from cairnkit.llm._util import cut, remove, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,20 @@ def op4_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_audit.audit(warc_audit.leaves(pages), warc_audit.leaves(warc_audit.damaged(pages)))
 
 
+def warc_file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_warc_merkle over WARC files: both replicas written to the shared folder, read back and audited."""
+    pages = _table(spark, sf_dir, "pages")
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    where = folder if ":" in folder else f"file://{folder}"
+    found = []
+    for name, replica in (("a", pages), ("b", warc_audit.damaged(pages))):
+        warc_audit.write_warc(replica, f"{where}/{name}", packed=False)
+        found.append(warc_audit.stored_leaves(warc_audit.read_warc(spark, f"{where}/{name}/*.warc")))
+    differing = cut(warc_audit.audit(*found))
+    remove(spark, folder)
+    return differing
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document with each policy's decision; words are flagged by the labels."""
     docs = _table(spark, sf_dir, "documents")
@@ -70,11 +84,12 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.read(spark, path)
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op4_warc_merkle": op4_warc_merkle, "op5_quality_rules": op5_quality_rules, "op6_ring_sharding": op6_ring_sharding, "op7_pivot_topk": op7_pivot_topk, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_orc_tokens": op10_orc_tokens}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op4_warc_merkle": op4_warc_merkle, "warc_file_audit": warc_file_audit, "op5_quality_rules": op5_quality_rules, "op6_ring_sharding": op6_ring_sharding, "op7_pivot_topk": op7_pivot_topk, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_orc_tokens": op10_orc_tokens}
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.plan_sql(tokens.counted_sql()),
     "op3_token_counts": f"WITH RECURSIVE {tokens.counted_sql()} SELECT doc_id, n AS n_tokens FROM counted",
     "op4_warc_merkle": warc_audit.audit_sql(),
+    "warc_file_audit": warc_audit.audit_sql(),
     "op5_quality_rules": quality_rules.ledger_sql(),
     "op7_pivot_topk": pivot_topk.top_k_sql(),
     "op10_orc_tokens": tokens.ids_sql(),
