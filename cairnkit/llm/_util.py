@@ -125,7 +125,7 @@ def linked(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple
     return edges
 
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 100 << 20
 
 
 def _bytes_of(column: Column, kind: T.DataType) -> Column:

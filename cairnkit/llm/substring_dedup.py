@@ -20,7 +20,8 @@ THRESHOLD = 0.7
 BANDS, ROWS, SHINGLE = 12, 3, 3
 RUN = 8  # words of the shingles of a sliding sub-paragraph
 PERIOD = 8  # a shingle that comes again within so many words isn't drawn twice
-ASK = 32  # words beyond a match that are compared at once
+ASK = 24  # words beyond a match that are compared at once
+HOT_ENDS = 10_000
 
 
 def paragraphs(docs: DataFrame, min_words: int = PARAGRAPH_WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -206,10 +207,13 @@ def _runs(matched: DataFrame, size: int) -> DataFrame:
     return cut(merged.withColumn("run", F.monotonically_increasing_id()))
 
 
+PLACE, KEPT = ("doc_id", "tag", "spot"), ("keep_doc_id", "keep_tag", "keep_spot")
+
+
 def _extended(named: DataFrame, runs: DataFrame) -> DataFrame:
     """Spans of the runs, each made as long as its words and those of the first instance are equal.
 
-    Each end of a run asks both texts for the words beyond it, 32 at first; ends that are
+    Each end of a run asks both texts for the words beyond it, 24 at first; ends that are
     equal so far ask for 16 times as many from where they have come, and so on.
     """
     ends = [runs.select("run", F.lit(side).alias("side"), "doc_id", "tag", F.expr(spot).alias("spot"), "keep_doc_id", "keep_tag", F.expr(f"{spot} - shift").alias("keep_spot")) for side, spot in ((0, "at"), (1, "to - 1"))]
@@ -217,23 +221,35 @@ def _extended(named: DataFrame, runs: DataFrame) -> DataFrame:
     while True:
         met = cut(_met(named, todo, ask))
         ready.append(met.where("not more"))
-        todo = met.where("more").select("run", "side", "doc_id", "tag", "spot", "keep_doc_id", "keep_tag", "keep_spot")
+        todo = met.where("more").select("run", "side", *PLACE, *KEPT)
         if todo.isEmpty():
             break
         ask *= 16
     settled = ready[0]
     for more in ready[1:]:
         settled = settled.union(more)
-    left = settled.where("side = 0").select("run", "doc_id", "tag", "keep_doc_id", "keep_tag", F.col("spot").alias("first"), F.col("offset").alias("start"), F.col("keep_offset").alias("keep_start"))
-    right = settled.where("side = 1").select("run", F.col("spot").alias("last"), F.col("offset").alias("end"))
-    whole = left.join(right, "run").join(runs.select("run", "cluster"), "run").withColumn("words", F.col("last") - F.col("first") + 1)
+    side = [F.max(F.when(F.col("side") == k, F.col(c))).alias(name) for k, c, name in ((0, "spot", "first"), (0, "offset", "start"), (0, "keep_offset", "keep_start"), (1, "spot", "last"), (1, "offset", "end"))]
+    both = settled.groupBy("run", "doc_id", "tag", "keep_doc_id", "keep_tag").agg(*side)
+    whole = both.join(runs.select("run", "cluster"), "run").where("start is not null and end is not null").withColumn("words", F.col("last") - F.col("first") + 1)
     # runs of one passage parted by a stretch without keys have grown to the same span
     once = whole.groupBy("doc_id", "tag", "start", "end", "words", "keep_doc_id", "keep_tag", "keep_start").agg(F.min("cluster").alias("cluster"))
     return once.select("doc_id", "start", "end", F.lit("passage").alias("kind"), "words", "cluster", "keep_doc_id", "keep_start")
 
 
 def _met(named: DataFrame, ends: DataFrame, ask: int) -> DataFrame:
-    """ends moved outward over at most `ask` equal words, with their character offsets; more tells that all were equal."""
+    """ends moved outward over at most `ask` equal words, with their character offsets; more tells that all were equal.
+
+    The words of both texts meet in one shuffle by the kept place, which gives its words once,
+    or once for each 10,000 ends that ask for them, so that a much repeated text is no
+    task's alone. What a text is asked for is bounded by its own words.
+    """
+    hot = ends.groupBy(*KEPT, "side").agg(F.ceil(F.count("*") / HOT_ENDS).cast("int").alias("salts"))
+    own = ends.join(hot, [*KEPT, "side"]).withColumn("salt", F.pmod(F.xxhash64("run"), F.col("salts")).cast("int"))
+    kept = hot.select(*KEPT, "side", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rest = ["side", "salt", *KEPT]
+    asks = own.select(F.col("doc_id").alias("id"), F.struct("tag", "spot", "run", *rest).alias("ask"))
+    asks = asks.union(kept.select(F.col("keep_doc_id").alias("id"), F.struct(F.col("keep_tag").alias("tag"), F.col("keep_spot").alias("spot"), F.lit(-1).cast("long").alias("run"), *rest).alias("ask")))
+    asks = small(cut(asks.groupBy("id").agg(F.collect_list("ask").alias("asks"))))
 
     def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,47 +257,51 @@ def _met(named: DataFrame, ends: DataFrame, ask: int) -> DataFrame:
             flat, bounds = asked.flatten(), np.concatenate(([0], np.cumsum(asked.value_lengths().to_numpy())))
             tag, spot, side = (flat.field(c).to_numpy() for c in ("tag", "spot", "side"))
             for w in _words.blocks(batch.column(1), spans=True):
-                tags, rows = _tags(w), {"doc_id": [], "tag": [], "spot": [], "side": [], "hashes": [], "offsets": []}
-                for r in range(w.rows):
-                    low, high = int(w.starts[r]), int(w.starts[r + 1])
-                    for k in range(int(bounds[w.first + r]), int(bounds[w.first + r + 1])):
-                        at = low + int(spot[k])
-                        if tag[k] != tags[r] or at >= high:
-                            continue
-                        if side[k]:
-                            words, offsets = w.hashes[at : min(high, at + ask + 1)], w.end[at : min(high, at + ask + 1)]
-                        else:
-                            words, offsets = w.hashes[max(low, at - ask) : at + 1][::-1], w.begin[max(low, at - ask) : at + 1][::-1]
-                        for name, x in zip(rows, (ids[w.first + r], tag[k], spot[k], side[k], words.tobytes(), offsets.astype(np.int64).tobytes()), strict=True):
-                            rows[name].append(x)
-                if rows["spot"]:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows.values(), kinds, strict=True)], list(rows))
+                tags, short = _tags(w), (w.hashes >> np.uint64(32)).astype(np.uint32)
+                begin, end = w.begin.astype(np.int32), w.end.astype(np.int32)
+                low, high = int(bounds[w.first]), int(bounds[w.first + w.rows])
+                row = np.repeat(np.arange(w.rows), np.diff(bounds[w.first : w.first + w.rows + 1]))
+                at = w.starts[row] + spot[low:high]
+                pick = np.flatnonzero((tag[low:high] == tags[row]) & (at < w.starts[row + 1]))
+                hashes, offsets = [], []
+                for r, k, s in zip(row[pick].tolist(), at[pick].tolist(), side[low:high][pick].tolist(), strict=True):
+                    if s:
+                        upto = min(int(w.starts[r + 1]), k + ask + 1)
+                        hashes.append(short[k:upto].tobytes())
+                        offsets.append(end[k:upto].tobytes())
+                    else:
+                        since = max(int(w.starts[r]), k - ask)
+                        hashes.append(short[since : k + 1][::-1].tobytes())
+                        offsets.append(begin[since : k + 1][::-1].tobytes())
+                if len(pick):
+                    mine = flat.take(pa.array(low + pick))
+                    columns = {"doc_id": pa.array(ids[w.first + row[pick]])} | {c: mine.field(c) for c in ("tag", "spot", "run", *rest)}
+                    yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(hashes, pa.binary()), pa.array(offsets, pa.binary())], [*columns, "hashes", "offsets"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hashes, offsets = None, b"", b""
         for batch in batches:
-            numbers = {c: batch.column(c).to_numpy().copy() for c in ("run", "side", "doc_id", "tag", "spot", "keep_doc_id", "keep_tag", "keep_spot")}
-            equal, offset, keep_offset = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            for i, (mine, kept, at, keep_at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hashes", "keep_hashes", "offsets", "keep_offsets")), strict=True)):
-                n = min(len(mine), len(kept)) // 8
-                apart = np.flatnonzero(np.frombuffer(mine, np.uint64, n) != np.frombuffer(kept, np.uint64, n))
-                equal[i] = n = int(apart[0]) if len(apart) else n
-                if n:
-                    offset[i], keep_offset[i] = np.frombuffer(at, np.int64)[n - 1], np.frombuffer(keep_at, np.int64)[n - 1]
-            out = np.where(numbers["side"] == 1, 1, -1) * (equal - 1)
-            numbers["spot"] += out
-            numbers["keep_spot"] += out
-            columns = [pa.array(c) for c in (*numbers.values(), offset, keep_offset, equal > ask)]
-            yield pa.RecordBatch.from_arrays(columns, [*numbers, "offset", "keep_offset", "more"]).filter(pa.array(equal > 0))
-
-    asks = ends.select("doc_id", "tag", "spot", "side").union(ends.select("keep_doc_id", "keep_tag", "keep_spot", "side")).distinct()
-    asks = small(cut(asks.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("tag", "spot", "side")).alias("asks"))))
+            numbers = {c: batch.column(c).to_numpy() for c in ("run", "side", *PLACE, *KEPT)}
+            place = list(zip(*(batch.column(c).to_pylist() for c in rest), strict=True))
+            moved, offset, keep_offset = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            for i, (run, mine, at) in enumerate(zip(numbers["run"].tolist(), batch.column("hashes").to_pylist(), batch.column("offsets").to_pylist(), strict=True)):
+                if run < 0:
+                    now, hashes, offsets = place[i], mine, at
+                elif place[i] == now:
+                    n = min(len(mine), len(hashes)) // 4
+                    apart = np.flatnonzero(np.frombuffer(mine, np.uint32, n) != np.frombuffer(hashes, np.uint32, n))
+                    moved[i] = n = int(apart[0]) if len(apart) else n
+                    if n:
+                        offset[i], keep_offset[i] = (int.from_bytes(x[4 * n - 4 : 4 * n], "little") for x in (at, offsets))
+            out = np.where(numbers["side"] == 1, 1, -1) * (moved - 1)
+            columns = numbers | {"spot": numbers["spot"] + out, "keep_spot": numbers["keep_spot"] + out, "offset": offset, "keep_offset": keep_offset, "more": moved > ask}
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns)).filter(pa.array(moved > 0))
+
     texts = named.join(asks, named["doc_id"] == asks["id"]).select("doc_id", "text", "asks")
-    given = texts.mapInArrow(beyond, "doc_id long, tag int, spot long, side int, hashes binary, offsets binary")
-    given = cut(given.dropDuplicates(["doc_id", "tag", "spot", "side"]))
-    kept = given.select(F.col("doc_id").alias("keep_doc_id"), F.col("tag").alias("keep_tag"), F.col("spot").alias("keep_spot"), "side", F.col("hashes").alias("keep_hashes"), F.col("offsets").alias("keep_offsets"))
-    both = ends.join(given, ["doc_id", "tag", "spot", "side"]).join(kept, ["keep_doc_id", "keep_tag", "keep_spot", "side"])
-    return both.mapInArrow(compare, "run long, side int, doc_id long, tag int, spot long, keep_doc_id long, keep_tag int, keep_spot long, offset long, keep_offset long, more boolean")
+    numbers = "doc_id long, tag int, spot long, run long, side int, salt int, keep_doc_id long, keep_tag int, keep_spot long"
+    given = texts.mapInArrow(beyond, f"{numbers}, hashes binary, offsets binary").repartition(*rest).sortWithinPartitions(*rest, "run")
+    found = given.mapInArrow(compare, "run long, side int, doc_id long, tag int, spot long, keep_doc_id long, keep_tag int, keep_spot long, offset long, keep_offset long, more boolean")
+    return found.dropDuplicates(["run", "side"])  # rows of equal doc_id and text answer alike
 
 
 def _windows(w: _words.Words, min_words: int, run: int) -> tuple[np.ndarray, np.ndarray]:
