@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnkit.llm import _words, superminhash
-from cairnkit.llm._util import by_key, cut, fresh, int64s, linked, mix, signed, without
+from cairnkit.llm._util import by_key, cut, fresh, int64s, linked, mix, signed, small, without
 from cairnkit.llm.components import components
 
 SHINGLE = 3
@@ -29,6 +29,11 @@ def collisions(keys: DataFrame) -> DataFrame:
     return sorted_keys.mapInArrow(_collided, "bucket long, item long").distinct()
 
 
+def collided(pairs: DataFrame) -> DataFrame:
+    """(h1) of the items of collisions(); broadcast as far as they are few, so that the others' rows aren't shuffled."""
+    return small(cut(pairs.select(F.col("item").alias("h1")).distinct()))
+
+
 def _collided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, starts in by_key(batches, "key"):
         item = table.column("item").to_numpy()
@@ -87,7 +92,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slack: float
 
     pairs = cut(collisions(table.select("h1", "sig").mapInArrow(band, "key long, item long")))
     # a collided item's signature comes once for each (h1, h2): copies were one item so far
-    known = table.join(pairs.select(F.col("item").alias("h1")).distinct(), "h1", "left_semi").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
+    known = table.join(collided(pairs), "h1", "left_semi").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
     shipped = pairs.join(known, pairs["item"] == known["h1"]).select("bucket", "id", "sig").repartition("bucket").sortWithinPartitions("bucket", "id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cairnkit.llm import _words, superminhash
 from cairnkit.llm._util import by_key, cut, fresh, int64s, linked, mix, signed, small
 from cairnkit.llm.components import components
-from cairnkit.llm.near_dedup import collisions
+from cairnkit.llm.near_dedup import collided, collisions
 
 MIN_WORDS = 50
 PARAGRAPH_WORDS = 20
@@ -69,7 +69,7 @@ def paragraphs(docs: DataFrame, min_words: int = PARAGRAPH_WORDS, threshold: flo
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     table = cut(named.mapInArrow(scan, "doc_id long, start long, end long, words long, h1 long, h2 long, keys binary, items binary"))
     pairs = cut(collisions(table.select("h1", "keys").mapInArrow(band, "key long, item long")))
-    known = table.join(pairs.select(F.col("item").alias("h1")).distinct(), "h1", "left_semi").groupBy("h1").agg(F.first("items").alias("items"))
+    known = table.join(collided(pairs), "h1", "left_semi").groupBy("h1").agg(F.first("items").alias("items"))
     shipped = pairs.join(known, pairs["item"] == known["h1"]).select("bucket", "item", "items").repartition("bucket").sortWithinPartitions("bucket", "item")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
