@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 FILTERABLE = frozenset({"doc_id", "filename", "source_path", "extension", "file_type", "language", "record_type"})
 METRICS = ("cosine", "dot", "euclid")
 BROADCAST_QUERIES = 4096
+CELLS = 1 << 22  # scores worked out at once
 DECIMALS = 12  # so that equal vectors tie, wherever they lie in a matrix product
 
 
@@ -88,61 +92,61 @@ def top_k(chunks: DataFrame, query: list[float], k: int = 10, filters: dict[str,
 def batch_top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "chunk_id", vector_col: str = "vector", broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
     """(query_id, <id>, zone_id, score, rank): the k best chunks of its zone for each query (query_id, zone_id, query).
 
-    Up to broadcast_queries queries travel to the chunks, and each Arrow batch passes on only
-    its k best per query; more are joined to them by zone. Either way ranks come from one
-    window over what is left.
+    Queries travel to the chunks, at most broadcast_queries (64 at least) at a time, and each
+    Arrow batch passes on only its k best per query; ranks come from one window over what is
+    left. More queries are taken in turns, with the same results. Null vectors, and queries
+    and chunks of different length, give no rows.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {', '.join(METRICS)}")
     sign = 1.0 if metric == "euclid" else -1.0
     slim = chunks.select(F.col(id_col).alias("_id"), "zone_id", F.col(vector_col).cast("array<double>").alias("_v")).where("_v is not null")
-    kind = slim.schema["_id"].dataType.simpleString()
-    asked = queries.select("query_id", "zone_id", F.col("query").cast("array<double>").alias("query"))
-    key = asked.schema["query_id"].dataType.simpleString()
-    head = asked.limit(broadcast_queries + 1).collect()
-    if len(head) <= broadcast_queries:
-        by_zone: dict[str, tuple[list, np.ndarray]] = {}
-        for zone in {r.zone_id for r in head}:
-            mine = [r for r in head if r.zone_id == zone]
-            by_zone[zone] = ([r.query_id for r in mine], np.array([r["query"] for r in mine], dtype=np.float64))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    asked = queries.select("query_id", "zone_id", F.col("query").cast("array<double>").alias("query")).where("query is not null and zone_id is not null")
+    kinds = [asked.schema["query_id"].dataType, slim.schema["_id"].dataType, slim.schema["zone_id"].dataType]
+    schema = T.StructType([*[T.StructField(n, t) for n, t in zip(("query_id", "_id", "zone_id"), kinds, strict=True)], T.StructField("score", T.DoubleType())])
+    key, zone_kind = to_arrow_type(kinds[0]), to_arrow_type(kinds[2])
+    at_once = max(64, broadcast_queries)
+    some = asked.limit(at_once + 1).collect()
+    turns = [some] if len(some) <= at_once else _turns(asked, at_once)
+    found = slim.sparkSession.createDataFrame([], schema)
+    for turn in turns:
+        groups: dict[tuple, tuple[list, list]] = {}
+        for r in turn:
+            names, vectors = groups.setdefault((r.zone_id, len(r["query"])), ([], []))
+            names.append(r.query_id)
+            vectors.append(r["query"])
+        sent = slim.sparkSession.sparkContext.broadcast({at: (names, np.array(vectors, dtype=np.float64)) for at, (names, vectors) in groups.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, zones = batch.column(0), np.array(batch.column(1).to_pylist(), dtype=object)
                 sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-                for zone, (names, q) in by_zone.items():
-                    at = np.flatnonzero((zones == zone) & (sizes == q.shape[1]))
-                    if not len(at):
+                for (zone, size), (names, q) in sent.value.items():
+                    at = np.flatnonzero((zones == zone) & (sizes == size))
+                    if not len(at) or not size:
                         continue
                     x = batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
-                    s = _matrix_scores(q, x, metric)
-                    order = np.argsort(sign * s, axis=1, kind="stable")
-                    edge = np.take_along_axis(sign * s, order[:, min(k, len(at)) - 1][:, None], axis=1)
-                    row, pick = np.nonzero(sign * s <= edge)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in row.tolist()]), ids.take(pa.array(at[pick])), pa.array([zone] * len(row)), pa.array(s[row, pick])], ["query_id", "_id", "zone_id", "score"])
-
-        found = slim.mapInArrow(run, f"query_id {key}, _id {kind}, zone_id string, score double")
-    else:
-        both = slim.join(asked, "zone_id").where(F.size("_v") == F.size("query"))
-
-        def dot(a: Column, b: Column) -> Column:
-            return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-        v, q = F.col("_v"), F.col("query")
-        if metric == "euclid":
-            diff = F.zip_with(v, q, lambda x, y: x - y)
-            score = F.sqrt(dot(diff, diff))
-        else:
-            score = dot(v, q)
-            if metric == "cosine":
-                length = F.sqrt(dot(v, v) * dot(q, q))
-                score = F.when(length > 0, score / length).otherwise(0.0)
-        found = both.select("query_id", "_id", "zone_id", F.round(score, DECIMALS).alias("score"))
+                    step = max(1, CELLS // (len(at) * (size if metric == "euclid" else 1)))
+                    for begin in range(0, len(q), step):
+                        s = sign * _matrix_scores(q[begin : begin + step], x, metric)
+                        edge = np.partition(s, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1]
+                        row, pick = np.nonzero(s <= edge[:, None])
+                        yield pa.RecordBatch.from_arrays([pa.array([names[begin + r] for r in row.tolist()], key), ids.take(pa.array(at[pick])), pa.array([zone] * len(row), zone_kind), pa.array(sign * s[row, pick])], ["query_id", "_id", "zone_id", "score"])
+
+        if k > 0 and groups:
+            found = found.union(slim.mapInArrow(run, schema))
     best = Window.partitionBy("query_id").orderBy((F.col("score") * sign).asc(), F.col("_id").asc())
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.withColumnRenamed("_id", id_col)
 
 
+def _turns(asked: DataFrame, at_once: int) -> Iterator[list]:
+    """The queries in runs of at_once, read one partition at a time."""
+    rows = asked.toLocalIterator()
+    while turn := list(islice(rows, at_once)):
+        yield turn
+
+
 def _matrix_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "euclid":
         return np.round(np.sqrt(np.maximum(0, ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))), DECIMALS)

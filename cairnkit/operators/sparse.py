@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from cairnkit.functions.lineage import cut
 from cairnkit.functions.text import search_terms
 
 OKAPI = {"k1": 1.5, "b": 0.75, "epsilon": 0.25}
@@ -38,21 +39,26 @@ def fulltext_terms(chunks: DataFrame) -> DataFrame:
     return chunks.select("zone_id", "chunk_id", F.concat(folded_terms(F.coalesce("text", F.lit(""))), folded_terms(F.coalesce("filename", F.lit("")))).alias("terms"))
 
 
-def postings(terms: DataFrame) -> DataFrame:
-    """(zone_id, chunk_id, term, tf, dl): one shuffle, partial counts first."""
-    rows = terms.select("zone_id", "chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+def index(terms: DataFrame) -> DataFrame:
+    """(zone_id, chunk_id, term, tf, dl) of (zone_id, chunk_id, terms): a keyword index, made once and searched often.
+
+    One pass and one shuffle, partial counts first. A chunk also has a row with a null term,
+    so that chunks without terms count in the statistics, all of which come from the index.
+    """
+    rows = terms.select("zone_id", "chunk_id", F.size("terms").alias("dl"), F.explode(F.array_append("terms", F.lit(None).cast("string"))).alias("term"))
     return rows.groupBy("zone_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def zone_stats(terms: DataFrame, by_zone: bool = True) -> DataFrame:
-    """(zone_id, n, avgdl) of each zone, or one row for all."""
-    stats = [F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl")]
-    return terms.groupBy("zone_id").agg(*stats) if by_zone else terms.agg(*stats)
+def zone_stats(indexed: DataFrame, by_zone: bool = True) -> DataFrame:
+    """(zone_id, n, avgdl) of each zone of an index, or one row for all."""
+    stats = [F.count("*").alias("n"), F.avg("dl").alias("avgdl")]
+    chunks = indexed.where("term is null")
+    return chunks.groupBy("zone_id").agg(*stats) if by_zone else chunks.agg(*stats)
 
 
-def okapi_idf(posted: DataFrame, stats: DataFrame, epsilon: float = OKAPI["epsilon"]) -> DataFrame:
+def okapi_idf(indexed: DataFrame, stats: DataFrame, epsilon: float = OKAPI["epsilon"]) -> DataFrame:
     """(zone_id, term, df, idf): negative ones become epsilon times the zone's mean of all raw ones."""
-    df = posted.groupBy("zone_id", "term").agg(F.count("*").alias("df")).join(stats, "zone_id")
+    df = indexed.where("term is not null").groupBy("zone_id", "term").agg(F.count("*").alias("df")).join(stats, "zone_id")
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("zone_id").agg(F.avg("raw").alias("mean"))
     return raw.join(mean, "zone_id").select("zone_id", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -67,44 +73,85 @@ def _bm25(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def okapi_scores(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, zone_id, chunk_id, score) for every chunk of the zone and every query with tokens.
+def okapi_hits(indexed: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, zone_id, chunk_id, score) of the chunks of a query's zone that hold a term of it.
 
-    queries has (query_id, zone_id, query). The statistics are those of the zone's chunks
-    whatever their record type; `allowed` (zone_id, chunk_id) says which may be returned.
-    Chunks without a term of the query score 0, as a full ranking of the zone would have it.
+    queries has (query_id, zone_id, query). The statistics are those of the zone's indexed
+    chunks whatever their record type; `allowed` (zone_id, chunk_id) says which may be
+    returned. Only the postings of the queries' terms are joined.
     """
-    terms = okapi_terms(chunks)
-    posted, stats = postings(terms), zone_stats(terms)
+    stats = zone_stats(indexed)
     asked = query_terms(queries, search_terms).join(queries.select("query_id", "zone_id"), "query_id")
-    hits = posted.join(F.broadcast(asked) if _few(asked) else asked, ["zone_id", "term"]).join(okapi_idf(posted, stats), ["zone_id", "term"]).join(stats, "zone_id")
-    part = F.col("qtf") * F.col("idf") * _bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), OKAPI["k1"], OKAPI["b"])
-    scored = hits.groupBy("query_id", "zone_id", "chunk_id").agg(F.sum(part).alias("score"))
-    every = (allowed if allowed is not None else terms).select("zone_id", "chunk_id").join(asked.select("query_id", "zone_id").distinct(), "zone_id")
-    return every.join(scored, ["query_id", "zone_id", "chunk_id"], "left").select("query_id", "zone_id", "chunk_id", F.round(F.coalesce("score", F.lit(0.0)), DECIMALS).alias("score"))
+    wanted = asked.select("zone_id", "term").distinct()
+    few = _few(asked)
+    idf = okapi_idf(indexed, stats).join(F.broadcast(wanted) if few else wanted, ["zone_id", "term"], "left_semi").join(F.broadcast(stats.select("zone_id", "avgdl")), "zone_id")
+    weighed = asked.join(idf, ["zone_id", "term"]).select("query_id", "zone_id", "term", "avgdl", (F.col("qtf") * F.col("idf")).alias("weight"))
+    hits = indexed.where("term is not null").join(F.broadcast(weighed) if few else weighed, ["zone_id", "term"])
+    part = F.col("weight") * _bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), OKAPI["k1"], OKAPI["b"])
+    scored = hits.groupBy("query_id", "zone_id", "chunk_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
+    return scored if allowed is None else scored.join(allowed.select("zone_id", "chunk_id"), ["zone_id", "chunk_id"], "left_semi").select("query_id", "zone_id", "chunk_id", "score")
+
+
+def okapi_top(indexed: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """rank() of the whole zones by okapi: chunks without a term of the query score 0, and may be among the best.
+
+    They are needed only by queries with tokens and fewer than k hits above 0, and are the
+    first by chunk_id that are no hits: so many chunks of each zone are looked at as such a
+    query has hits at or below 0, and k more, never zones times queries.
+    """
+    hits = cut(okapi_hits(indexed, queries, allowed))
+    with_tokens = queries.where(F.size(search_terms(F.col("query"))) > 0).select("query_id", "zone_id")
+    counts = hits.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("good"), F.count("*").alias("hits"))
+    short = cut(with_tokens.join(counts, "query_id", "left").where(F.coalesce("good", F.lit(0)) < k).select("query_id", "zone_id", (F.coalesce("hits", F.lit(0)) + k).alias("deep")))
+    if k <= 0 or short.isEmpty():
+        return rank(hits, k)
+    chunks = (indexed.where("term is null") if allowed is None else allowed).select("zone_id", "chunk_id")
+    need = short.groupBy("zone_id").agg(F.max("deep").alias("most"))
+    deepest = need.agg(F.max("most")).first()[0]
+    order = Window.partitionBy("zone_id").orderBy("chunk_id")
+    first = chunks.join(F.broadcast(need.select("zone_id")), "zone_id", "left_semi").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= deepest)
+    zeros = first.join(short, "zone_id").where("pos <= deep").select("query_id", "zone_id", "chunk_id", F.lit(0.0).alias("score"))
+    return rank(hits.unionByName(zeros.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")), k)
+
+
+def okapi_scores(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, zone_id, chunk_id, score) for every chunk of the zone and every query with tokens, zeros included.
+
+    The full table that okapi_top() takes the best of; its size is zones times queries, so it
+    is for looking at single queries.
+    """
+    indexed = cut(index(okapi_terms(chunks)))
+    asked = queries.where(F.size(search_terms(F.col("query"))) > 0).select("query_id", "zone_id")
+    every = (allowed if allowed is not None else chunks).select("zone_id", "chunk_id").join(asked, "zone_id")
+    return every.join(okapi_hits(indexed, queries), ["query_id", "zone_id", "chunk_id"], "left").select("query_id", "zone_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def fulltext_scores(indexed: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def fulltext_hits(indexed: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, zone_id, chunk_id, score) of the chunks that hold a term of the query.
 
     The statistics span everything `indexed`: all zones and record types, deleted rows too,
     and tokens of the file name; `allowed` says which chunks may be returned.
     """
-    terms = fulltext_terms(indexed)
-    posted, stats = postings(terms), zone_stats(terms, by_zone=False)
+    stats = zone_stats(indexed, by_zone=False)
     asked = query_terms(queries, folded_terms)
-    zones = queries.select("query_id", "zone_id")
     wanted = asked.select("term").distinct()
-    held = posted.join(F.broadcast(wanted) if _few(wanted) else wanted, "term")
-    df = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    few = _few(asked)
+    held = indexed.where("term is not null").join(F.broadcast(wanted) if few else wanted, "term")
+    df = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.select("term", "avgdl", F.when(raw <= 0, FULLTEXT["floor"]).otherwise(raw).alias("idf"))
-    hits = held.join(idf, "term").join(asked.join(zones, "query_id"), ["term", "zone_id"])
-    part = F.col("qtf") * F.col("idf") * _bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), FULLTEXT["k1"], FULLTEXT["b"])
+    weighed = asked.join(idf, "term").join(queries.select("query_id", "zone_id"), "query_id").select("query_id", "zone_id", "term", "avgdl", (F.col("qtf") * F.col("idf")).alias("weight"))
+    hits = held.join(F.broadcast(weighed) if few else weighed, ["term", "zone_id"])
+    part = F.col("weight") * _bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), FULLTEXT["k1"], FULLTEXT["b"])
     scored = hits.groupBy("query_id", "zone_id", "chunk_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
     return scored if allowed is None else scored.join(allowed.select("zone_id", "chunk_id"), ["zone_id", "chunk_id"], "left_semi").select("query_id", "zone_id", "chunk_id", "score")
 
 
+def fulltext_scores(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """fulltext_hits() of chunks that have no index yet."""
+    return fulltext_hits(cut(index(fulltext_terms(chunks))), queries, allowed)
+
+
 def _few(df: DataFrame, rows: int = 100_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 

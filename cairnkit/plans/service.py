@@ -15,7 +15,7 @@ SPARSE_MODES = ("okapi", "fts5")
 
 
 class RetrievalService:
-    """All verbs over the chunk store. Keyword indexes are derived from the same table, so never out of step."""
+    """All verbs over the chunk store. Keyword indexes belong to a snapshot of the same table, so never out of step."""
 
     def __init__(self, store: ChunkStore, sparse_mode: str = "okapi", rrf_k: int = hybrid.RRF_K, index_deleted: bool = True):
         if sparse_mode not in SPARSE_MODES:
@@ -48,8 +48,13 @@ class RetrievalService:
         allowed = live.where(dense.predicate(dense.normalize_filters(filters)))
         asked = self.store.spark.createDataFrame([(0, zone_id, query)], "query_id int, zone_id string, query string")
         if self.sparse_mode == "okapi":
-            return sparse.rank(sparse.okapi_scores(live, asked, allowed), k)
-        return sparse.rank(sparse.fulltext_scores(self.store.chunks(deleted=self.index_deleted), asked, allowed), k)
+            return sparse.okapi_top(self.store.index(zone_id), asked, k, allowed)
+        zones = [z for z, v in self.store.zones().items() if v["snapshot"]]
+        indexed = self.store.index(zone_id, "fts5", self.index_deleted)
+        for other in zones:
+            if other != zone_id:
+                indexed = indexed.unionByName(self.store.index(other, "fts5", self.index_deleted))
+        return sparse.rank(sparse.fulltext_hits(indexed, asked, allowed), k)
 
     def sparse_search(self, zone_id: str, query: str, top_k: int = 10, filters: dict[str, Any] | None = None) -> DataFrame:
         """The best chunks by keywords; a query without tokens gives none."""

@@ -11,7 +11,9 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairnkit.functions.lineage import cut
 from cairnkit.functions.text import chunk_key
+from cairnkit.operators import sparse
 from cairnkit.operators.encode import normalize
 from cairnkit.schema import METADATA, RECORD, STORED, DeleteResult, UpsertResult, assert_zone, violations
 
@@ -19,7 +21,11 @@ SCHEMA_VERSION = 1
 
 
 def latest(records: DataFrame, order: Column | None = None) -> DataFrame:
-    """The last record of each chunk_id in a batch; without an order, the last in the order read."""
+    """The last record of each chunk_id in a batch by `order`.
+
+    Without an order the last in the order read, which is that of the rows in a DataFrame made
+    of files or a list; after a shuffle there is none, and an order column should be given.
+    """
     by = Window.partitionBy("zone_id", "chunk_id").orderBy(F.desc("_seq"))
     numbered = records.withColumn("_seq", F.monotonically_increasing_id() if order is None else order)
     return numbered.withColumn("_rank", F.row_number().over(by)).where("_rank = 1").drop("_rank", "_seq")
@@ -116,6 +122,23 @@ class ChunkStore:
             rows = part if k == 0 else rows.unionByName(part)
         return rows if deleted else rows.where(~F.col("is_deleted"))
 
+    def index(self, zone_id: str, kind: str = "okapi", deleted: bool = False) -> DataFrame:
+        """The keyword index of a zone's snapshot, `okapi` or `fts5`, written beside it at its first use.
+
+        A snapshot never changes, so neither does its index; a change of the zone makes a new
+        snapshot. Postings lie in the order of their terms, so that a search reads few of them.
+        """
+        terms = {"okapi": sparse.okapi_terms, "fts5": sparse.fulltext_terms}[kind]
+        snapshot = self.zones().get(zone_id, {}).get("snapshot")
+        if not snapshot:
+            return sparse.index(terms(self.chunks(zone_id, deleted)))
+        path = f"{snapshot}-{kind}{'-all' * deleted}"
+        fs, p = self._fs(f"{path}/_SUCCESS")
+        if not fs.exists(p):
+            made = sparse.index(terms(self.chunks(zone_id, deleted)))
+            made.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def _commit(self, zone_id: str, rows: DataFrame) -> None:
         path = f"{self.root}/{zone_id}/{uuid.uuid4().hex}"
         rows.sortWithinPartitions("record_type", "doc_id", "chunk_index").write.partitionBy("record_type").parquet(path)
@@ -131,7 +154,7 @@ class ChunkStore:
             fs, p = self._fs(f"{self.root}/{zone}")
             if fs.exists(p):
                 for status in fs.listStatus(p):
-                    if status.getPath().getName() not in used:
+                    if status.getPath().getName().split("-")[0] not in used:
                         fs.delete(status.getPath(), True)
                         removed += 1
         return removed
@@ -145,7 +168,7 @@ class ChunkStore:
         self.ensure_zone(zone_id)
         names = [c.strip().split(" ")[0] for c in RECORD.split(",")]
         made = F.when(F.coalesce("chunk_id", F.lit("")) == "", chunk_key(F.col("doc_id"), F.col("chunk_index"), F.col("content_hash"))).otherwise(F.col("chunk_id"))
-        ready = records.select(*names).withColumn("chunk_id", made)
+        ready = cut(records.select(*names).withColumn("chunk_id", made))  # cleaned, chunked and encoded once
         attempted = ready.count()
         if not attempted:
             return UpsertResult(0, 0)

@@ -135,6 +135,56 @@ def test_batch_search_is_the_same_by_broadcast_and_by_join(spark):
         assert best[:2] == ["c001", "c001b"] or metric == "dot"
 
 
+@pytest.mark.parametrize("at_once", [64, 4096])
+def test_batches_take_null_ragged_and_int_keyed_queries(spark, at_once):
+    chunks = spark.createDataFrame([(f"c{i}", "ai" if i % 2 else "cyber", [float(i), 1.0] if i != 5 else None) for i in range(40)] + [("r", "ai", [1.0])], "chunk_id string, zone_id string, vector array<double>")
+    data = [(i, "ai", [1.0, i / 7]) for i in range(150)] + [(900, "ai", None), (901, "ai", [2.0]), (902, None, [1.0, 0.0]), (903, "ai", [])]
+    for kind in ("int", "string"):
+        queries = spark.createDataFrame([(i if kind == "int" else f"q{i:03d}", z, v) for i, z, v in data], f"query_id {kind}, zone_id string, query array<double>")
+        got = dense.batch_top_k(chunks, queries, 3, "dot", broadcast_queries=at_once).collect()
+        assert len(got) == 150 * 3 + 1 and {r.chunk_id for r in got if str(r.query_id).endswith("901")} == {"r"}
+        assert all(r.chunk_id == "c39" for r in got if r.rank == 1 and not str(r.query_id).endswith("901"))
+    assert dense.batch_top_k(chunks, queries, 0).count() == 0 and dense.batch_top_k(chunks, queries.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 7, 100])
+def test_okapi_top_is_the_best_of_the_full_ranking(spark, k):
+    rng = random.Random(k)
+    docs = [" ".join(rng.choice(["a", "a", "bb", "ccc", "dd", "!!"]) for _ in range(rng.randrange(0, 9))) for _ in range(60)]
+    chunks = spark.createDataFrame([(f"c{i:02d}", "ai" if i % 3 else "crypto", t) for i, t in enumerate(docs)], "chunk_id string, zone_id string, text string")
+    queries = spark.createDataFrame([(1, "ai", "a"), (2, "ai", "nothing"), (3, "crypto", "dd ccc a"), (4, "ai", "?!"), (5, "crypto", "bb")], "query_id int, zone_id string, query string")
+    allowed = chunks.where("chunk_id not like '%7'")
+    want = rows(sparse.rank(sparse.okapi_scores(chunks, queries, allowed), k), "query_id", "chunk_id", "score", "rank")
+    assert rows(sparse.okapi_top(sparse.index(sparse.okapi_terms(chunks)), queries, k, allowed), "query_id", "chunk_id", "score", "rank") == want
+    assert {r[0] for r in want} == {1, 2, 3, 5}
+
+
+def test_the_index_is_kept_with_its_snapshot(spark, service, monkeypatch):
+    service.upsert(ZONE, frame(spark, record("a", "alpha beta", [1, 0, 0, 0])))
+    made, plain = [], sparse.index
+    monkeypatch.setattr(sparse, "index", lambda terms: made.append(1) or plain(terms))
+    for _ in range(3):
+        assert [r.doc_id for r in service.sparse_search(ZONE, "beta").collect()] == ["a"]
+    assert len(made) == 1
+    service.upsert(ZONE, frame(spark, record("b", "beta beta", [0, 1, 0, 0])))
+    assert {r.doc_id for r in service.sparse_search(ZONE, "beta").collect()} == {"a", "b"} and len(made) == 2
+    service.store.vacuum()
+    assert {r.doc_id for r in service.sparse_search(ZONE, "beta").collect()} == {"a", "b"} and len(made) == 2
+
+
+def test_an_upsert_encodes_each_record_once(spark, service):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def vector(i):
+        calls.add(1)
+        return [float(i), 1.0, 0.0, 0.0]
+
+    plain = frame(spark, *[record(f"d{i}", f"text {i}", [0, 0, 0, 0], i) for i in range(30)])
+    service.upsert(ZONE, plain.withColumn("vector", vector("chunk_index")))
+    assert calls.value == 30
+
+
 def bm25_okapi(docs, query):
     tokens = [t.lower().split() for t in docs]
     n, avg = len(docs), sum(map(len, tokens)) / len(docs)
