@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairnkit.functions.lineage import cut, shared_folder
+
+__all__ = ["cut", "shared_folder"]
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,34 +35,11 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in a
-    local test, a temporary folder is used. The files outlive lost executors and Spark
-    removes them once nothing refers to them.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="cairnkit-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for tables that a job writes and reads again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="cairnkit-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on, and what it holds counts for its executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -14,9 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from cairnkit.llm._util import mix
+from cairnkit.llm._util import give_back, mix
 
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 _PRIME = 0x100000001B3 * 0x9E3779B1 % (1 << 64) | 1
 _WORD = np.zeros(256, dtype=bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -56,7 +56,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.full(size, base, dtype=np.uint64)
             x[0] = 1
             pair.append(np.cumprod(x, dtype=np.uint64))
-        if size > 4 * BLOCK_BYTES:  # a giant text: not worth holding on to
+        if size > BLOCK_BYTES + 1:  # a giant text: not worth holding on to
             return pair[0], pair[1]
         _powers[:] = pair
     return _powers[0], _powers[1]
@@ -83,6 +83,7 @@ def blocks(texts: pa.Array, spans: bool = False) -> Iterator[Words]:
         last = min(last, n)
         yield _block(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first, None if valid is None else valid[first:last], spans)
         first = last
+    give_back()
 
 
 def _block(raw: np.ndarray, offsets: np.ndarray, first: int, valid: np.ndarray | None, spans: bool) -> Words:

@@ -19,7 +19,7 @@ import numpy as np
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 400_000
+CACHED = 150_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -86,10 +86,9 @@ _caches: dict[tuple, Cache] = {}
 
 
 def cache(key: tuple, build: Callable[[], Cache]) -> Cache:
-    """The process's cache of that key, so that tasks of one worker share it."""
+    """The process's cache of that key, so that tasks of one worker share it; a process holds one at a time."""
     if key not in _caches:
-        if len(_caches) >= 4:
-            _caches.clear()
+        _caches.clear()
         _caches[key] = build()
     return _caches[key]
 
