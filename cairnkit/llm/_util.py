@@ -42,6 +42,21 @@ def give_back() -> None:
         _TRIM(0)
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(texts: DataFrame) -> DataFrame:
+    """texts, whose session sends at most about BATCH_BYTES at a time to a worker unless it has a bound of its own.
+
+    By Spark's own bounds a batch of texts takes tens of MB, which the executor and the worker
+    both hold. The bound stays set in the session. A row is never cut.
+    """
+    if texts.sparkSession.conf.get(_BATCH, None) is None:
+        texts.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+    return texts
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; x is overwritten."""
     x ^= x >> np.uint64(30)

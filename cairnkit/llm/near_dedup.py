@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnkit.llm import _words, superminhash
-from cairnkit.llm._util import by_key, cut, fresh, int64s, linked, mix, signed, small, without
+from cairnkit.llm._util import bounded, by_key, cut, fresh, int64s, linked, mix, signed, small, without
 from cairnkit.llm.components import components
 
 SHINGLE = 3
@@ -81,7 +81,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slack: float
                     packed = pa.Array.from_buffers(pa.binary(slots * 4), len(full), [None, pa.py_buffer(np.ascontiguousarray(sig[full]))]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([ids.slice(w.first, w.rows).take(pa.array(full)), pa.array(signed(one[full])), pa.array(signed(two[full])), packed], ["id", "h1", "h2", "sig"])
 
-    table = cut(signed_docs.mapInArrow(sign, "id long, h1 long, h2 long, sig binary"))
+    table = cut(bounded(signed_docs).mapInArrow(sign, "id long, h1 long, h2 long, sig binary"))
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnkit.llm._util import bounded, give_back
 from cairnkit.llm import tokens
 from cairnkit.llm.tokens import TOKENIZER, Cache, Vocabulary, chunks
 
@@ -47,8 +48,9 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=empty if part.column(1).null_count else None)
                 sizes = pa.array(np.diff(ends).astype(np.int64), mask=empty.to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, lists], ["doc_id", "n_tokens", "token_ids"])
+        give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>")
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, stripe_bytes: int = STRIPE_BYTES, index_rows: int = INDEX_ROWS) -> None:

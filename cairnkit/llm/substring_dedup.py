@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnkit.llm import _words, superminhash
-from cairnkit.llm._util import by_key, cut, fresh, int64s, linked, mix, signed, small
+from cairnkit.llm._util import bounded, by_key, cut, fresh, int64s, linked, mix, signed, small
 from cairnkit.llm.components import components
 from cairnkit.llm.near_dedup import collided, collisions
 
@@ -67,7 +67,7 @@ def paragraphs(docs: DataFrame, min_words: int = PARAGRAPH_WORDS, threshold: flo
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(h1, BANDS))], ["key", "item"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    table = cut(named.mapInArrow(scan, "doc_id long, start long, end long, words long, h1 long, h2 long, keys binary, items binary"))
+    table = cut(bounded(named).mapInArrow(scan, "doc_id long, start long, end long, words long, h1 long, h2 long, keys binary, items binary"))
     pairs = cut(collisions(table.select("h1", "keys").mapInArrow(band, "key long, item long")))
     known = table.join(collided(pairs), "h1", "left_semi").groupBy("h1").agg(F.first("items").alias("items"))
     shipped = pairs.join(known, pairs["item"] == known["h1"]).select("bucket", "item", "items").repartition("bucket").sortWithinPartitions("bucket", "item")
@@ -172,7 +172,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    found = named.mapInArrow(scan, "key long, doc_id long, tag int, at int")
+    found = bounded(named).mapInArrow(scan, "key long, doc_id long, tag int, at int")
     ordered = found.repartition("key").sortWithinPartitions("key", "doc_id", "tag", "at")
     matched = ordered.mapInArrow(mark, "doc_id long, tag int, at int, cluster long, keep_doc_id long, keep_tag int, keep_at int")
     return _extended(named, _runs(matched, size))
@@ -299,7 +299,7 @@ def _met(named: DataFrame, ends: DataFrame, ask: int) -> DataFrame:
 
     texts = named.join(asks, named["doc_id"] == asks["id"]).select("doc_id", "text", "asks")
     numbers = "doc_id long, tag int, spot long, run long, side int, salt int, keep_doc_id long, keep_tag int, keep_spot long"
-    given = texts.mapInArrow(beyond, f"{numbers}, hashes binary, offsets binary").repartition(*rest).sortWithinPartitions(*rest, "run")
+    given = bounded(texts).mapInArrow(beyond, f"{numbers}, hashes binary, offsets binary").repartition(*rest).sortWithinPartitions(*rest, "run")
     found = given.mapInArrow(compare, "run long, side int, doc_id long, tag int, spot long, keep_doc_id long, keep_tag int, keep_spot long, offset long, keep_offset long, more boolean")
     return found.dropDuplicates(["run", "side"])  # rows of equal doc_id and text answer alike
 
@@ -411,7 +411,7 @@ def strip(docs: DataFrame, **options) -> DataFrame:
             out = pa.RecordBatch.from_arrays(columns, names)
             yield out if keep.all() else out.filter(pa.array(keep))
 
-    return joined.mapInArrow(remove, docs.schema)
+    return bounded(joined).mapInArrow(remove, docs.schema)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairnkit.llm._util import bounded, give_back
 from cairnkit.llm import tokens
 from cairnkit.llm.tokens import TOKENIZER, Cache, Vocabulary, chunks
 
@@ -86,5 +87,6 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, table: int = TABLE
                         first, *rest = chunks(text)
                         counts.append(len(encode(first)) + sum(map(get, rest)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), *part.columns[2:]], names)
+        give_back()
 
-    return slim.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), *slim.schema.fields[2:]]))
+    return bounded(slim).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), *slim.schema.fields[2:]]))
