@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnkit.llm import _words
@@ -215,25 +215,41 @@ def ledger(docs: DataFrame, flagged: Sequence[int] = ()) -> DataFrame:
     return measured.select("doc_id", F.expr(mask_sql()).cast("long").alias("mask"), *MEASURES)
 
 
+def write(docs: DataFrame, path: str, flagged: Sequence[int] = ()) -> None:
+    """Store ledger(docs, flagged) as Parquet at path, which must not exist yet; this alone reads the texts."""
+    ledger(docs, flagged).write.parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger that write() stored, for policies and ablations of any time."""
+    return spark.read.schema("doc_id long, " + ", ".join(f"{m} long" for m in ("mask", *MEASURES))).parquet(path)
+
+
 def decide(ledger_rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
     """The ledger with a boolean column rejected_<version> for each policy."""
     return ledger_rows.select("*", *[F.expr(rejected_sql(p, "mask")).alias(f"rejected_{p.version}") for p in policies])
 
 
-def ablation(ledger_rows: DataFrame, policy: Policy = CURRENT) -> DataFrame:
-    """For each rule of the policy: documents that fail it, that it alone rejects, and that stay rejected without it.
+def ablations(ledger_rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
+    """For each rule of each policy: documents that fail it, that it alone rejects, and that stay rejected without it.
 
-    One aggregation of bit tests over the ledger; an empty ledger gives zeros.
+    One aggregation of bit tests over the ledger, whatever the number of policies; an empty
+    ledger gives zeros.
     """
-    rules = [r for r in RULES if r.name in policy.rules]
-    over = F.lit(policy.allowed)
-    tests = []
-    for r in rules:
-        without = F.bit_count(F.col("mask").bitwiseAND(F.lit(policy.mask & ~(1 << r.bit)))) > over
-        rejected = F.expr(rejected_sql(policy, "mask"))
-        tests += [F.count_if(F.col("mask").bitwiseAND(F.lit(1 << r.bit)) != 0).alias(f"f{r.bit}"), F.count_if(rejected & ~without).alias(f"a{r.bit}"), F.count_if(without).alias(f"w{r.bit}")]
-    one = ledger_rows.agg(*tests)
-    return one.select(F.explode(F.array(*[F.struct(F.lit(policy.version).alias("version"), F.lit(r.name).alias("rule"), F.col(f"f{r.bit}").alias("fails"), F.col(f"a{r.bit}").alias("rejected_alone"), F.col(f"w{r.bit}").alias("rejected_without")) for r in rules])).alias("r")).select("r.*")
+    tests, rows = [], []
+    for k, p in enumerate(policies):
+        over, rejected = F.lit(p.allowed), F.expr(rejected_sql(p, "mask"))
+        for r in (r for r in RULES if r.name in p.rules):
+            without = F.bit_count(F.col("mask").bitwiseAND(F.lit(p.mask & ~(1 << r.bit)))) > over
+            counts = {"fails": F.col("mask").bitwiseAND(F.lit(1 << r.bit)) != 0, "rejected_alone": rejected & ~without, "rejected_without": without}
+            tests += [F.count_if(test).alias(f"{name}_{k}_{r.bit}") for name, test in counts.items()]
+            rows.append(F.struct(F.lit(p.version).alias("version"), F.lit(r.name).alias("rule"), *[F.col(f"{name}_{k}_{r.bit}").alias(name) for name in counts]))
+    return ledger_rows.agg(*tests).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def ablation(ledger_rows: DataFrame, policy: Policy = CURRENT) -> DataFrame:
+    """ablations() of one policy."""
+    return ablations(ledger_rows, (policy,))
 
 
 def keep(docs: DataFrame, policy: Policy = CURRENT, flagged: Sequence[int] = ()) -> DataFrame:
@@ -288,3 +304,16 @@ def ledger_sql(policies: tuple[Policy, ...] = POLICIES) -> str:
     m AS (SELECT doc_id, {measured} FROM s LEFT JOIN h USING (k)),
     k AS (SELECT doc_id, CAST({mask_sql()} AS BIGINT) AS mask, {", ".join(MEASURES)} FROM m)
     SELECT *, {decided} FROM k"""
+
+
+
+def ablation_sql(policies: tuple[Policy, ...] = POLICIES) -> str:
+    """The policies' ablations for DuckDB, by counting the rules that a document fails instead of by bits."""
+    asked = []
+    for p in policies:
+        rules = [r for r in RULES if r.name in p.rules]
+        for r in rules:
+            rest = " + ".join(f"CAST({x.fails} AS INTEGER)" for x in rules if x is not r) or "0"
+            rejected = f"{rest} + CAST({r.fails} AS INTEGER) > {p.allowed}"
+            asked.append(f"SELECT '{p.version}' AS version, '{r.name}' AS rule, count(*) FILTER ({r.fails}) AS fails, count(*) FILTER ({rejected} AND NOT {rest} > {p.allowed}) AS rejected_alone, count(*) FILTER ({rest} > {p.allowed}) AS rejected_without FROM measured")
+    return f"WITH measured AS MATERIALIZED ({ledger_sql(policies)})\n    " + "\n    UNION ALL ".join(asked)

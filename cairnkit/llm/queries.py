@@ -50,11 +50,23 @@ def warc_file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return differing
 
 
-def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of every document with each policy's decision; words are flagged by the labels."""
+def _judged(spark: SparkSession, sf_dir: str) -> str:
+    """The folder where the ledger of every document is stored, and the ablation of each policy over it; words are flagged by the labels."""
     docs = _table(spark, sf_dir, "documents")
-    flagged = quality_rules.flagged_words(docs, _table(spark, sf_dir, "labels"))
-    return quality_rules.decide(quality_rules.ledger(docs, flagged))
+    path = f"{shared_folder(spark)}/quality-{uuid.uuid4().hex}"
+    quality_rules.write(docs, f"{path}/ledger", quality_rules.flagged_words(docs, _table(spark, sf_dir, "labels")))
+    quality_rules.ablations(quality_rules.read(spark, f"{path}/ledger")).write.parquet(f"{path}/ablation")
+    return path
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ledger of every document with each policy's decision; the policies' ablations are stored beside it."""
+    return quality_rules.decide(quality_rules.read(spark, f"{_judged(spark, sf_dir)}/ledger"))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5_quality_rules stores beside its ledger: what each rule does in each policy."""
+    return spark.read.parquet(f"{_judged(spark, sf_dir)}/ablation")
 
 
 def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +96,14 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.read(spark, path)
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op4_warc_merkle": op4_warc_merkle, "warc_file_audit": warc_file_audit, "op5_quality_rules": op5_quality_rules, "op6_ring_sharding": op6_ring_sharding, "op7_pivot_topk": op7_pivot_topk, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_orc_tokens": op10_orc_tokens}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_token_counts": op3_token_counts, "op4_warc_merkle": op4_warc_merkle, "warc_file_audit": warc_file_audit, "op5_quality_rules": op5_quality_rules, "quality_ablation": quality_ablation, "op6_ring_sharding": op6_ring_sharding, "op7_pivot_topk": op7_pivot_topk, "op8_substring_dedup": op8_substring_dedup, "op9_packing": op9_packing, "op10_orc_tokens": op10_orc_tokens}
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.plan_sql(tokens.counted_sql()),
     "op3_token_counts": f"WITH RECURSIVE {tokens.counted_sql()} SELECT doc_id, n AS n_tokens FROM counted",
     "op4_warc_merkle": warc_audit.audit_sql(),
     "warc_file_audit": warc_audit.audit_sql(),
     "op5_quality_rules": quality_rules.ledger_sql(),
+    "quality_ablation": quality_rules.ablation_sql(),
     "op7_pivot_topk": pivot_topk.top_k_sql(),
     "op10_orc_tokens": tokens.ids_sql(),
 }

@@ -1,14 +1,16 @@
 import random
 import re
+import shutil
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairnkit.llm import _words
+from cairnkit.llm import _words, queries
 from cairnkit.llm import quality_rules as Q
 from tests.conftest import rows
 
@@ -118,3 +120,32 @@ def test_words_are_flagged_by_labels_in_any_language(spark):
     assert all(held_out[i] == (i % 8 == 0) for i in range(400, 600))
     assert Q.flagged_words(docs, labels, labelled=10) == []  # too few of them are toxic
     assert Q.flagged_words(docs, labels.limit(0)) == Q.flagged_words(docs.limit(0), labels) == Q.flagged_words(docs, labels.where("toxic = 0")) == []
+
+
+def test_op5_stores_its_ledger_and_the_ablations_over_it(spark, tmp_path):
+    rng = random.Random(3)
+    data = [(i if i != 7 else None, t) for i, t in enumerate(TEXTS)] + [(100 + i, f"{'vile ' * 6 if i % 9 == 0 else ''}" + " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))) for i in range(90)]
+    spark.createDataFrame(data, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100 + i, int(i % 9 == 0)) for i in range(90)], "doc_id long, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {n: queries.QUERIES[n](spark, str(tmp_path)) for n in ("op5_quality_rules", "quality_ablation")}
+    for name, df in got.items():
+        want = con.execute(queries.ORACLES[name])
+        names = [d[0] for d in want.description]
+        assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in df.select(*names).collect())
+    stored = [f.rsplit("/", 2) for f in got["op5_quality_rules"].inputFiles()]
+    assert stored and {kind for _, kind, _ in stored} == {"ledger"}
+    beside = spark.read.parquet(f"{stored[0][0]}/ablation")
+    assert rows(beside) == rows(got["quality_ablation"])
+    flagged = ["vile"]
+    fails = [{r.name for r in Q.RULES if model(t, flagged)[1] >> r.bit & 1} for _, t in data]
+    for r in beside.collect():
+        p = next(p for p in Q.POLICIES if p.version == r.version)
+        mine = [f & set(p.rules) for f in fails]
+        assert (r.fails, r.rejected_alone, r.rejected_without) == (sum(r.rule in f for f in mine), sum(f == {r.rule} for f in mine), sum(bool(f - {r.rule}) for f in mine))
+    assert beside.count() == sum(len(p.rules) for p in Q.POLICIES) and beside.where("rule = 'flagged_words' and version = 'v2' and rejected_alone = 10").count() == 1
+    shutil.rmtree(f"{tmp_path}/documents.parquet")
+    later = Q.Policy("later", ("few_words", "symbols"), allowed=1)  # a new policy needs no text
+    assert Q.decide(Q.read(spark, f"{stored[0][0]}/ledger"), (later,)).where("rejected_later").count() == sum({"few_words", "symbols"} <= f for f in fails)
