@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairnkit.llm._util import bounded, give_back
 from cairnkit.llm import tokens
-from cairnkit.llm.tokens import TOKENIZER, Cache, Vocabulary, chunks
+from cairnkit.llm.tokens import TOKENIZER, Vocabulary
 
 STRIPE_BYTES = 64 << 20
 INDEX_ROWS = 1_000
@@ -19,6 +19,19 @@ FALSE_POSITIVES = 0.01
 SLICE = 500
 
 
+def id_lists(texts: pa.Array, make: Callable[[str], bytes]) -> tuple[pa.Array, pa.Array]:
+    """How many ids each text has, and the ids, by one call of make for a text; nulls stay null.
+
+    The encoder takes less for a whole text than a cache for its chunks where many are rare.
+    """
+    found = [b"" if text is None else make(text) for text in texts.to_pylist()]
+    ends = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
+    empty = texts.is_null()
+    lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=empty if texts.null_count else None)
+    return pa.array(np.diff(ends).astype(np.int64), mask=empty.to_numpy(zero_copy_only=False)), lists
+
+
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens, token_ids) of every row of docs.
 
@@ -29,25 +42,11 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        make = tokens.id_bytes(own)
-        get = tokens.cache(("ids", own.digest), lambda: Cache(make)).__getitem__
+        make = tokens.id_bytes(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = []
-                for text in part.column(1).to_pylist():
-                    if text is None:
-                        found.append(b"")
-                    else:
-                        first, *rest = chunks(text)
-                        found.append(make(first) + b"".join(map(get, rest)))
-                ends = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
-                empty = part.column(1).is_null()
-                lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=empty if part.column(1).null_count else None)
-                sizes = pa.array(np.diff(ends).astype(np.int64), mask=empty.to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes, lists], ["doc_id", "n_tokens", "token_ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *id_lists(part.column(1), make)], ["doc_id", "n_tokens", "token_ids"])
         give_back()
 
     return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>")

@@ -95,9 +95,9 @@ def cache(key: tuple, build: Callable[[], Cache]) -> Cache:
 
 @lru_cache(maxsize=2)
 def id_bytes(v: Vocabulary) -> Callable[[str], bytes]:
-    """Text to its ids as little-endian int32 bytes."""
-    encode = encoding(v).encode_ordinary
-    return lambda text: np.array(encode(text), dtype="<i4").tobytes()
+    """Text to its ids as little-endian int32 bytes, with no Python object for an id."""
+    encode = encoding(v).encode_to_numpy
+    return lambda text: encode(text, disallowed_special=()).astype("<i4").tobytes()
 
 
 _BLANK = r"\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"

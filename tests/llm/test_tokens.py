@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from hypothesis import given, settings
@@ -69,6 +70,17 @@ def test_sql_gives_the_same_counts_and_ids(spark, data, tmp_path):
         assert want == sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, str(tmp_path)).select(*names).collect())
 
 
+def test_ids_take_one_call_for_a_text():
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefé漢", k=7)) for _ in range(rng.randrange(300))) for _ in range(40)] + [None, "", "  ", "<|endoftext|>"]
+    calls = []
+    make = tokens.id_bytes(V)
+    sizes, lists = orc_tokens.id_lists(pa.array(["left out", *texts])[1:], lambda t: calls.append(t) or make(t))
+    assert calls == [t for t in texts if t is not None]  # chunks looked up in a cache had a call for each rare word
+    want = [None if t is None else ENCODE(t) for t in texts]
+    assert lists.to_pylist() == want and sizes.to_pylist() == [None if w is None else len(w) for w in want]
+
+
 def test_orc_round_trip_and_metadata(spark, data, tmp_path):
     docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(2)
     path = str(tmp_path / "ids")
