@@ -32,17 +32,18 @@ def id_lists(texts: pa.Array, make: Callable[[str], bytes]) -> tuple[pa.Array, p
     return pa.array(np.diff(ends).astype(np.int64), mask=empty.to_numpy(zero_copy_only=False)), lists
 
 
-def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str = TOKENIZER, cached: bool = False) -> DataFrame:
     """(doc_id, n_tokens, token_ids) of every row of docs.
 
     token_ids are those of the whole text, special tokens taken as ordinary text. A null text
     has null ids and a null n_tokens, an empty text an empty array. Null doc_ids and repeated
-    rows have a row each. Only doc_id and text are read.
+    rows have a row each. Only doc_id and text are read. With cached, ids come from a worker's
+    cache of chunks; they are the same.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = tokens.id_bytes(shared.value)
+        make = (tokens.cached_id_bytes if cached else tokens.id_bytes)(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)

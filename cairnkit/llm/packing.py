@@ -131,7 +131,7 @@ def pack_ids(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, tokenizer: str
             ids = pa.ListArray.from_arrays(pa.array(np.append(begin, begin[-1] + size[-1]).astype(np.int32) if len(row) else np.zeros(1, np.int32)), lists.values)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * most), pa.array(size), ids], ["doc_id", "piece", "from_token", "size", "token_ids"])
 
-    pieces = encode(slim, tokenizer).mapInArrow(split, "doc_id long, piece int, from_token long, size long, token_ids array<int>")
+    pieces = encode(slim, tokenizer, cached=True).mapInArrow(split, "doc_id long, piece int, from_token long, size long, token_ids array<int>")
     pieces = pieces.withColumn("n", F.xxhash64("token_ids"))
     return _packed(_sharded(pieces, "n", slim.select("doc_id", F.xxhash64("text").alias("n")), total, shard_pieces), lengths, "token_ids")
 

@@ -100,6 +100,22 @@ def id_bytes(v: Vocabulary) -> Callable[[str], bytes]:
     return lambda text: encode(text, disallowed_special=()).astype("<i4").tobytes()
 
 
+def cached_id_bytes(v: Vocabulary) -> Callable[[str], bytes]:
+    """id_bytes by the chunks of a text, from the process's cache."""
+    encode = encoding(v).encode_ordinary
+
+    def make(chunk: str) -> bytes:
+        return np.array(encode(chunk), dtype="<i4").tobytes()
+
+    get = cache(("ids", v.digest), lambda: Cache(make)).__getitem__
+
+    def run(text: str) -> bytes:
+        first, *rest = chunks(text)
+        return make(first) + b"".join(map(get, rest))
+
+    return run
+
+
 _BLANK = r"\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 

@@ -78,6 +78,7 @@ def test_ids_take_one_call_for_a_text():
     sizes, lists = orc_tokens.id_lists(pa.array(["left out", *texts])[1:], lambda t: calls.append(t) or make(t))
     assert calls == [t for t in texts if t is not None]  # chunks looked up in a cache had a call for each rare word
     want = [None if t is None else ENCODE(t) for t in texts]
+    assert orc_tokens.id_lists(pa.array(texts), tokens.cached_id_bytes(V))[1].to_pylist() == want
     assert lists.to_pylist() == want and sizes.to_pylist() == [None if w is None else len(w) for w in want]
 
 
