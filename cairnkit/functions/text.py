@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairnkit.functions.worker import SPACE
+
 FILE_TYPES = {
     **dict.fromkeys((".txt", ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".log"), "text"),
     **dict.fromkeys((".md", ".markdown"), "markdown"),
@@ -23,8 +25,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any script at either end (trim() knows only the space)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Without white space of any script at either end; only the ends are looked at."""
+    return F.btrim(text, F.lit(SPACE))
 
 
 def rstrip_lines(text: Column) -> Column:

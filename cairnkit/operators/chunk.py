@@ -1,4 +1,4 @@
-"""Chunking operators: a text column to an array of chunks, all without a shuffle."""
+"""Chunking operators: a text column to an array of chunks, in the workers and without a shuffle."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnkit.exceptions import ChunkingError
-from cairnkit.functions.text import joiner, let, lines, strip, tokens, words
+from cairnkit.functions import worker
+from cairnkit.functions.text import strip
 
 MAX_TOKENS, OVERLAP = 300, 50
 SENTENCE = r"(?<=[。！？．.?!])\s+"
@@ -22,100 +23,41 @@ def _check(max_tokens: int, overlap: int) -> None:
         raise ChunkingError("overlap must be from 0 to below max_tokens")
 
 
-def _windows(text: Column, max_tokens: int, overlap: int) -> Column:
-    """Windows of a stripped text: the last is the first that reaches the end."""
-    step = max_tokens - overlap
-
-    def cut(parts: Column, glue: str) -> Column:
-        last = F.greatest(F.lit(0), F.ceil((F.size(parts) - max_tokens) / step)).cast("int")
-        every = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.array_join(F.slice(parts, i * step + 1, max_tokens), glue)))
-        return F.filter(every, lambda x: x != "")
-
-    return F.when(F.instr(text, " ") > 0, let(words(text), lambda p: cut(p, " "))).otherwise(let(tokens(text), lambda p: cut(p, "")))
-
-
 def fixed_window(text: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column:
     """Windows of max_tokens words, or characters where the text has no space, overlapping by `overlap`."""
     _check(max_tokens, overlap)
-    return let(strip(text), lambda t: _windows(t, max_tokens, overlap))
+    return worker.lifted(lambda t: worker.windows(worker.strip(t), max_tokens, overlap))(text)
 
 
 def hybrid(text: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column:
     """Lines packed into chunks while they fit and are of one kind; lines too long by windows.
 
-    A fold over the lines with the chunks so far and the open one: words are joined by a
-    space, lines of characters without anything between.
+    Words are joined by a space, lines of characters without anything between.
     """
     _check(max_tokens, overlap)
-    empty = F.array().cast("array<string>")
-
-    def unit(line: Column) -> Column:
-        def made(parts: Column) -> Column:
-            body = F.when(F.instr(line, " ") > 0, F.array_join(parts, " ")).otherwise(line)
-            return F.struct(body.alias("text"), F.size(parts).alias("n"), joiner(line).alias("glue"), F.when(F.size(parts) > max_tokens, _windows(line, max_tokens, overlap)).alias("pieces"))
-
-        return let(tokens(line), made)
-
-    def closed(acc: Column) -> Column:
-        return F.concat(acc["out"], F.when(acc["n"] > 0, F.array(acc["open"])).otherwise(empty))
-
-    def state(out: Column, opened: Column, n: Column, glue: Column) -> Column:
-        return F.struct(out.alias("out"), opened.alias("open"), n.cast("int").alias("n"), glue.alias("glue"))
-
-    def step(acc: Column, u: Column) -> Column:
-        start = state(closed(acc), u["text"], u["n"], u["glue"])
-        more = state(acc["out"], F.concat(acc["open"], u["glue"], u["text"]), acc["n"] + u["n"], u["glue"])
-        long = state(F.concat(closed(acc), u["pieces"]), F.lit(""), F.lit(0), F.lit(""))
-        return F.when(u["n"] > max_tokens, long).when((acc["n"] > 0) & (acc["n"] + u["n"] <= max_tokens) & (acc["glue"] == u["glue"]), more).otherwise(start)
-
-    return F.aggregate(F.transform(lines(text), unit), state(empty, F.lit(""), F.lit(0), F.lit("")), step, lambda acc: F.filter(F.transform(closed(acc), strip), lambda x: x != ""))
+    return worker.lifted(lambda t: worker.hybrid(t, max_tokens, overlap))(text)
 
 
 def by_line(text: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column:
     """Lines packed with their line ends; the budget counts the joined lines' tokens.
 
     Joined lines count as words once any of them has a space, else as characters with the
-    line ends, so that the fold carries both counts and never splits the open chunk anew.
+    line ends, so that both counts are carried and the open chunk is never split anew.
     """
     _check(max_tokens, overlap)
-    empty = F.array().cast("array<string>")
-
-    def unit(line: Column) -> Column:
-        return F.struct(line.alias("text"), F.size(words(line)).alias("w"), F.length(line).alias("c"), (F.instr(line, " ") > 0).alias("s"), F.when(F.size(tokens(line)) > max_tokens, _windows(line, max_tokens, overlap)).alias("pieces"))
-
-    def closed(acc: Column) -> Column:
-        return F.concat(acc["out"], F.when(acc["c"] > 0, F.array(acc["open"])).otherwise(empty))
-
-    def state(out: Column, opened: Column, w: Column, c: Column, s: Column) -> Column:
-        return F.struct(out.alias("out"), opened.alias("open"), w.cast("int").alias("w"), c.cast("int").alias("c"), s.alias("s"))
-
-    def step(acc: Column, u: Column) -> Column:
-        w, c, s = acc["w"] + u["w"], acc["c"] + 1 + u["c"], acc["s"] | u["s"]
-        fits = (acc["c"] > 0) & (F.when(s, w).otherwise(c) <= max_tokens)
-        more = state(acc["out"], F.concat(acc["open"], F.lit("\n"), u["text"]), w, c, s)
-        start = state(closed(acc), u["text"], u["w"], u["c"], u["s"])
-        long = state(F.concat(closed(acc), u["pieces"]), F.lit(""), F.lit(0), F.lit(0), F.lit(False))
-        return F.when(u["pieces"].isNotNull(), long).when(fits, more).otherwise(start)
-
-    return F.aggregate(F.transform(lines(text), unit), state(empty, F.lit(""), F.lit(0), F.lit(0), F.lit(False)), step, closed)
+    return worker.lifted(lambda t: worker.by_line(t, max_tokens, overlap))(text)
 
 
 def by_paragraph(text: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column:
     """Parts between blank lines, or lines where there is only one part; long ones by windows."""
     _check(max_tokens, overlap)
-
-    def split(whole: Column) -> Column:
-        parts = F.filter(F.transform(F.split(whole, r"(?U)\n\s*\n+", -1), strip), lambda x: x != "")
-        return let(parts, lambda p: F.when((F.size(p) == 1) & (F.instr(whole, "\n") > 0), lines(whole)).otherwise(p))
-
-    return enforce_max(let(strip(text), split), max_tokens, overlap)
+    return worker.lifted(lambda t: worker.by_paragraph(t, max_tokens, overlap))(text)
 
 
 def enforce_max(chunks: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column:
     """Chunks stripped, without empty ones, and those too long cut by windows."""
     _check(max_tokens, overlap)
-    solid = F.filter(F.transform(chunks, strip), lambda x: x != "")
-    return F.flatten(F.transform(solid, lambda x: F.when(F.size(tokens(x)) > max_tokens, _windows(x, max_tokens, overlap)).otherwise(F.array(x))))
+    return worker.lifted(lambda c: worker.enforce_max(c, max_tokens, overlap))(chunks)
 
 
 def sentences(text: Column, pattern: str = SENTENCE) -> Column:

@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnkit.exceptions import TextProcessingError
+from cairnkit.functions import worker
 from cairnkit.functions.text import let, strip
 
 THRESHOLD, PERMUTATIONS, SHINGLE = 0.85, 128, 5
 
 
 def exact(chunks: Column) -> Column:
-    """Stripped chunks without empty ones, each text at its first place: array_distinct keeps that order."""
-    return F.array_distinct(F.filter(F.transform(chunks, strip), lambda x: x != ""))
+    """Stripped chunks without empty ones, each text at its first place."""
+    return worker.lifted(worker.distinct)(chunks)
 
 
 def exact_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -46,14 +47,54 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), share)
 
 
+def _shingle_ids(texts: list[str], size: int) -> list[np.ndarray]:
+    """Each text's distinct character runs as sorted numbers, equal for equal runs of any of the texts: no hashes."""
+    points = [np.frombuffer(worker.flat(t).encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
+    letters = np.unique(np.concatenate(points))
+    base = len(letters) + 1
+    if base**size >= 2**63:  # too many letters for one number a run
+        known: dict[bytes, int] = {}
+        runs = [{p[i : i + size].tobytes() for i in range(max(1, len(p) - size + 1))} for p in points]
+        return [np.array(sorted(known.setdefault(r, len(known)) for r in found), dtype=np.int64) for found in runs]
+    found = []
+    for p in points:
+        digits = np.searchsorted(letters, p).astype(np.int64) + 1
+        width = min(size, len(p))
+        code = digits[: len(p) - width + 1].copy()
+        for k in range(1, width):
+            code *= base
+            code += digits[k : len(p) - width + 1 + k]
+        found.append(np.unique(code))
+    return found
+
+
+def _fold_jaccard(chunks: list[str | None], threshold: float, size: int) -> list[str]:
+    texts = worker.distinct(chunks)
+    if len(texts) < 2:
+        return texts
+    found = _shingle_ids(texts, size)
+    every, places = np.unique(np.concatenate(found), return_inverse=True)
+    sizes = np.array([len(x) for x in found])
+    ends = np.cumsum(sizes)
+    ids = [places[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    mark, kept = np.zeros(len(every), dtype=np.uint8), []
+    for i, mine in enumerate(ids):
+        n = sizes[i]
+        mark[mine] = 1
+        near = [j for j in kept if min(n, sizes[j]) / max(n, sizes[j]) >= threshold]
+        if not any((both := int(np.count_nonzero(mark[ids[j]]))) / (n + sizes[j] - both) >= threshold for j in reversed(near)):
+            kept.append(i)
+        mark[mine] = 0
+    return [texts[i] for i in kept]
+
+
 def greedy(chunks: Column, threshold: float = THRESHOLD, size: int = SHINGLE) -> Column:
-    """Chunks that no earlier kept one is similar to, by exact Jaccard of shingles: a fold, no Python."""
-    def fold(units: Column) -> Column:
-        empty = F.filter(units, lambda u: F.lit(False))
-        return F.aggregate(units, empty, lambda acc, u: F.when(F.exists(acc, lambda y: jaccard(y["s"], u["s"]) >= threshold), acc).otherwise(F.concat(acc, F.array(u))))
+    """Chunks that no earlier kept one is similar to, by exact Jaccard of shingles: a fold within the row.
 
-    units = F.transform(exact(chunks), lambda t: F.struct(t.alias("t"), shingles(t, size).alias("s")))
-    return F.transform(let(units, fold), lambda u: u["t"])
+    Its comparisons grow with the square of a document's chunks, not of the table's. Shingles
+    are numbered exactly, and chunks whose counts alone exclude the threshold aren't compared.
+    """
+    return worker.lifted(lambda c: _fold_jaccard(c, threshold, size))(chunks)
 
 
 _LANES = {}
