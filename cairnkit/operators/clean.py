@@ -3,30 +3,85 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from cairnkit.functions.text import let, lines, rstrip_lines, strip
+from cairnkit.functions import worker
+from cairnkit.functions.text import let, lines, strip
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F)))
 _SPACES = "　   " + "".join(map(chr, range(0x2000, 0x200B)))
+_TO_NARROW = str.maketrans(_WIDE, _NARROW)
+_ANY_WIDE, _ANY_SPACE = re.compile(f"[{_WIDE[0]}-{_WIDE[-1]}]"), re.compile(f"[{_SPACES}]")
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_BLANKS, _INNER_BLANKS = re.compile("[ \t]{2,}"), re.compile("(?<=[^ \t\n\x0b\x0c\r])[ \t]{2,}")
 
 
-def basic_clean(text: Column) -> Column:
-    """No byte-order mark, one kind of line end, no control characters, stripped lines without blanks.
+def _basic(t: str) -> str:
+    t = _CONTROL.sub("", t.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n"))
+    return "\n".join(worker.lines(t))
 
-    Stripping lines and dropping blank ones is to turn each run of white space that holds a
-    line end into that line end, which one expression does over the whole text.
-    """
-    text = F.regexp_replace(text, "^﻿", "")
-    text = F.regexp_replace(text, "\r\n?", "\n")
-    text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    return strip(F.regexp_replace(text, r"(?U)\s*\n\s*", "\n"))
+
+def _spaces(t: str) -> str:
+    return t if t.isascii() else _ANY_SPACE.sub(" ", t)
+
+
+def _narrow(t: str) -> str:
+    return t.translate(_TO_NARROW) if not t.isascii() and _ANY_WIDE.search(t) else t
+
+
+def _compose(t: str) -> str:
+    return t if t.isascii() else unicodedata.normalize("NFC", t)
+
+
+def _rstrip_lines(t: str) -> str:
+    return "\n".join([x.rstrip(worker.SPACE) for x in t.split("\n")])
+
+
+def _squeeze(t: str) -> str:
+    if "  " in t or "\t" in t:
+        t = _BLANKS.sub(" ", t)
+    return worker.strip(_rstrip_lines(t))
+
+
+def _normal(t: str, code: bool) -> str:
+    t = _spaces(t)
+    return _squeeze(_compose(t if code else _narrow(t)))
+
+
+def _code(t: str) -> str:
+    return worker.strip(_rstrip_lines(t))
+
+
+def _markdown(t: str) -> str:
+    return re.sub("\n{3,}", "\n\n", _code(re.sub("(?s)<!--.*?-->", "", t)))
+
+
+def _indented(t: str) -> str:
+    plain = _CONTROL.sub("", t.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n"))
+    return _rstrip_lines(_INNER_BLANKS.sub(" ", _compose(_spaces(plain)))).strip("\n")
+
+
+def _clean(t: str, kind: str | None, preserve_indent: bool) -> str:
+    if kind == "code" and preserve_indent:
+        return _indented(t)
+    body = _normal(_basic(t), kind == "code")
+    return _markdown(body) if kind == "markdown" else _code(body) if kind == "code" else body
+
+
+def _text(f: Callable[[str], str], column: Column) -> Column:
+    return worker.lifted(f, many=False)(column)
+
+
+def basic_clean(text: Column) -> Column:
+    """No byte-order mark, one kind of line end, no control characters, stripped lines without blanks."""
+    return _text(_basic, text)
 
 
 def map_fullwidth(text: Column) -> Column:
@@ -37,54 +92,48 @@ def map_spaces(text: Column) -> Column:
     return F.translate(text, _SPACES, " " * len(_SPACES))
 
 
-@F.pandas_udf(StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
-
-
 def nfc(text: Column) -> Column:
-    """Canonical composition. Texts without a character from U+0300 on can't change and aren't sent to Python."""
-    return F.coalesce(_nfc(F.when(F.regexp_like(text, F.lit(r"[^\x{0}-\x{2FF}]")), text)), text)
-
-
-def _squeeze(text: Column) -> Column:
-    return strip(rstrip_lines(F.regexp_replace(text, "[ \t]{2,}", " ")))
+    """Canonical composition."""
+    return _text(_compose, text)
 
 
 def normalize_prose(text: Column) -> Column:
-    return _squeeze(nfc(map_fullwidth(map_spaces(text))))
+    return _text(lambda t: _normal(t, False), text)
 
 
 def normalize_code(text: Column) -> Column:
-    return _squeeze(nfc(map_spaces(text)))
+    return _text(lambda t: _normal(t, True), text)
 
 
 def normalize_text(text: Column, for_code: bool = False) -> Column:
     return normalize_code(text) if for_code else normalize_prose(text)
 
 
+def _by_type(f: Callable[[str, str | None], str], text: Column, file_type: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, kinds: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else f(t, k) for t, k in zip(worker.values(texts), kinds.to_pylist(), strict=True)], pa.string())
+
+    worker.bound()
+    return run(text, file_type)
+
+
 def normalize_for_type(text: Column, file_type: Column) -> Column:
     """Code keeps its full-width characters; the rest of the treatment is shared."""
-    return _squeeze(nfc(F.when(file_type == "code", map_spaces(text)).otherwise(map_fullwidth(map_spaces(text)))))
+    return _by_type(lambda t, kind: _normal(t, kind == "code"), text, file_type)
 
 
 def clean_markdown(text: Column) -> Column:
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(strip(rstrip_lines(text)), "\n{3,}", "\n\n")
+    return _text(_markdown, text)
 
 
 def clean_code(text: Column) -> Column:
-    return strip(rstrip_lines(text))
+    return _text(_code, text)
 
 
 def clean_text(text: Column, file_type: Column, preserve_indent: bool = False) -> Column:
     """The whole chain of a document that isn't paged; with preserve_indent code keeps its lines' indents."""
-    body = normalize_for_type(basic_clean(text), file_type)
-    code = clean_code(body)
-    if preserve_indent:
-        plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-        code = F.regexp_replace(rstrip_lines(F.regexp_replace(nfc(map_spaces(plain)), r"(?<=\S)[ \t]{2,}", " ")), r"^\n+|\n+\z", "")
-    return F.when(file_type == "markdown", clean_markdown(body)).when(file_type == "code", code).otherwise(body)
+    return _by_type(lambda t, kind: _clean(t, kind, preserve_indent), text, file_type)
 
 
 def clean_pages(pages: DataFrame, min_line: int = 3, max_line: int = 200, ratio: float = 0.65, normalize: bool = True) -> DataFrame:
