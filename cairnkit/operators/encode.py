@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cairnkit.exceptions import EncodingError
+from cairnkit.functions import worker
 from cairnkit.functions.text import let
 
 DIM = 384
@@ -17,13 +21,21 @@ BATCH = 32
 
 
 def fake(text: Column, dim: int = DIM) -> Column:
-    """A unit vector made of the SHA-256 of the text: byte i mod 32 at place i. JVM functions only."""
-
-    def made(digest: Column) -> Column:
-        bytes_ = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
-        return F.slice(F.flatten(F.array_repeat(bytes_, -(-dim // 32))), 1, dim)
-
-    return normalize(let(F.sha2(text, 256), made))
+    """A unit vector made of the SHA-256 of the text: byte i mod 32 at place i."""
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        there = texts.is_valid().to_numpy(zero_copy_only=False)
+        digests = b"".join([sha256(t).digest() for t in texts.cast(pa.binary()).to_pylist() if t is not None])
+        raw = np.frombuffer(digests, np.uint8).reshape(-1, 32).astype(np.float64) / 255
+        raw = np.tile(raw, -(-dim // 32))[:, :dim]
+        length = np.sqrt(np.cumsum(raw * raw, axis=1)[:, -1:])  # added from left to right
+        unit = np.divide(raw, length, out=raw, where=length != 0)
+        ends = np.concatenate([[0], np.cumsum(there * dim)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(unit.ravel()), mask=pa.array(~there))
+
+    worker.bound()
+    return run(text)
 
 
 def norm(v: Column) -> Column:
