@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnkit.functions import text as T
-from cairnkit.functions.lineage import cut, shared_folder
+from cairnkit.functions.lineage import shared_folder
 from cairnkit.operators import chunk, clean, dedup, dense, encode, hybrid, sparse
 from cairnkit.options import Options
 from cairnkit.plans import ingest, store, tables
@@ -267,28 +267,24 @@ def dense_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bm25_zone_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.zone_stats(sparse.index(sparse.okapi_terms(tables.doc_chunks(spark, sf_dir)))).select("zone_id", "n", F.round("avgdl", 6).alias("avgdl"))
+    return sparse.terms_stats(sparse.okapi_terms(tables.doc_chunks(spark, sf_dir))).select("zone_id", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def _okapi(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    return sparse.okapi_top(cut(sparse.index(sparse.okapi_terms(rows))), asked, k, _allowed(rows))
-
-
-def _allowed(rows: DataFrame) -> DataFrame:
-    return rows.where("record_type = 'knowledge'")
+def _allowed() -> Column:
+    return F.col("record_type") == "knowledge"
 
 
 @query
 def bm25_okapi(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.doc_chunks(spark, sf_dir)
-    found = _okapi(rows, tables.queries(spark, sf_dir), 10)
+    found = sparse.okapi_best(rows, tables.queries(spark, sf_dir), 10, _allowed())
     return found.select("query_id", "zone_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
 def bm25_fts5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.doc_chunks(spark, sf_dir)
-    found = sparse.rank(sparse.fulltext_scores(rows, tables.queries(spark, sf_dir), _allowed(rows)), 10)
+    found = sparse.fulltext_best(rows, tables.queries(spark, sf_dir), 10, _allowed())
     return found.select("query_id", "zone_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -296,9 +292,9 @@ def bm25_fts5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense and keyword rankings of 50 for every benchmark text, fused to 10."""
     rows, asked = tables.doc_chunks(spark, sf_dir), tables.queries(spark, sf_dir)
-    live = _allowed(rows).withColumn("vector", encode.fake(F.col("text"), 64))
+    live = rows.where(_allowed()).withColumn("vector", encode.fake(F.col("text"), 64))
     one = dense.batch_top_k(live, asked.withColumn("query", encode.fake(F.col("query"), 64)), 50)
-    two = _okapi(rows, asked, 50)
+    two = sparse.okapi_best(rows, asked, 50, _allowed())
     found = hybrid.fuse(one, two, 10)
     return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "dense_rank", "sparse_rank", "rank")
 
