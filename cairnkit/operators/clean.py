@@ -8,11 +8,10 @@ import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnkit.functions import worker
-from cairnkit.functions.text import let, lines, strip
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F)))
@@ -146,25 +145,37 @@ def clean_pages(pages: DataFrame, min_line: int = 3, max_line: int = 200, ratio:
     without a page that isn't blank has an empty text. Null pages are blank.
     """
     ratio = min(1.0, max(0.0, ratio))
-    body = strip(F.coalesce(F.col("page_text"), F.lit("")))
-    rows = pages.select("doc_id", "page_no", F.split(body, "\n", -1).alias("lines"))
-    for last in (False, True):
-        solid = lines(F.array_join("lines", "\n"))
-        edge = F.try_element_at(solid, F.lit(-1 if last else 1))
-        edges = rows.select("doc_id", "page_no", edge.alias("edge")).where("edge is not null")
-        counts = edges.groupBy("doc_id", "edge").agg(F.count("*").alias("n"), F.min("page_no").alias("at"))
-        of_doc = Window.partitionBy("doc_id")
-        ranked = counts.withColumn("pages", F.sum("n").over(of_doc)).withColumn("rank", F.row_number().over(of_doc.orderBy(F.desc("n"), "at", "edge")))
-        enough = F.greatest(F.lit(2), F.ceil(F.lit(ratio) * F.col("pages") - F.lit(math.ulp(1.0))))
-        common = ranked.where((F.col("rank") == 1) & (F.col("pages") >= 2) & (F.col("n") >= enough) & F.length("edge").between(min_line, max_line)).select("doc_id", F.col("edge").alias("gone"))
-        joined = rows.join(common, "doc_id", "left")
-        here = F.transform("lines", strip)
-        at = F.array_position(F.reverse(here) if last else here, F.coalesce("gone", F.lit("")))
-        at = F.when(F.col("gone").isNull() | (at == 0), F.lit(-1)).otherwise(F.size("lines") - at if last else at - 1)
-        rest = let(at.cast("int"), lambda a: F.filter("lines", lambda x, i: i != a))
-        rows = joined.select("doc_id", "page_no", rest.alias("lines"))
-    text = strip(F.array_join("lines", "\n"))
-    ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", text.alias("text")))).alias("pages"))
-    solid = F.filter(F.transform("pages", lambda p: p["text"]), lambda t: t != "")
-    joined = F.array_join(solid, "\n\n")
-    return ordered.select("doc_id", (normalize_prose(joined) if normalize else joined).alias("text"))
+
+    @F.arrow_udf("string")
+    def run(documents: pa.Array, known: pa.Array) -> pa.Array:
+        found = [_without_edges(d, k, min_line, max_line, ratio) for d, k in zip(documents.to_pylist(), known.to_pylist(), strict=True)]
+        return pa.array([_normal(t, False) if normalize else t for t in found], pa.string())
+
+    worker.bound()
+    page = F.struct("page_no", F.coalesce("page_text", F.lit("")).alias("text"))
+    whole = pages.select("doc_id", page.alias("page")).groupBy("doc_id").agg(F.collect_list("page").alias("pages"))
+    return whole.select("doc_id", run(F.col("pages"), F.col("doc_id").isNotNull()).alias("text"))
+
+
+def _without_edges(pages: list[dict], known: bool, min_line: int, max_line: int, ratio: float) -> str:
+    """The joined pages of a document; one whose id isn't known keeps its edges."""
+    rows = [(p["page_no"], worker.strip(p["text"]).split("\n")) for p in pages]
+    for last in (False, True) if known else ():
+        edges: dict[str, tuple[int, list]] = {}
+        for no, texts in rows:
+            solid = next((x for x in map(worker.strip, reversed(texts) if last else texts) if x), None)
+            if solid is not None:
+                n, at = edges.get(solid, (0, []))
+                edges[solid] = n + 1, at if no is None else [min([*at, no])]
+        total = sum(n for n, _ in edges.values())
+        if total < 2:
+            continue
+        gone = min(edges, key=lambda x: (-edges[x][0], edges[x][1], x))
+        if edges[gone][0] < max(2, math.ceil(ratio * total - math.ulp(1.0))) or not min_line <= len(gone) <= max_line:
+            continue
+        for _, texts in rows:
+            at = next((i for i in (range(len(texts) - 1, -1, -1) if last else range(len(texts))) if worker.strip(texts[i]) == gone), None)
+            if at is not None:
+                del texts[at]
+    ordered = sorted(((no is not None, no, worker.strip("\n".join(texts))) for no, texts in rows))
+    return "\n\n".join(t for _, _, t in ordered if t)
