@@ -14,6 +14,7 @@ from cairnkit.functions import worker
 from cairnkit.functions.text import let, strip
 
 THRESHOLD, PERMUTATIONS, SHINGLE = 0.85, 128, 5
+BLOCK = 256
 
 
 def exact(chunks: Column) -> Column:
@@ -117,9 +118,14 @@ def signature(text: str, permutations: int = PERMUTATIONS, size: int = SHINGLE)
         items = items * np.uint64(0x100000001B3) + points[k : len(points) - width + 1 + k]
     items = np.unique(items ^ (items >> np.uint64(29)))
     a, b = _lanes(permutations)
-    x = items[:, None] * a + b
-    x ^= x >> np.uint64(31)
-    return (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=0)
+    least = np.full(permutations, np.iinfo(np.uint64).max)
+    for at in range(0, len(items), BLOCK):  # a block of all lanes stays in the cache
+        x = items[at : at + BLOCK, None] * a
+        x += b
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(least, x.min(axis=0), out=least)
+    return least
 
 
 def minhash(df: DataFrame, column: str, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, size: int = SHINGLE) -> DataFrame:
@@ -133,13 +139,15 @@ def minhash(df: DataFrame, column: str, threshold: float = THRESHOLD, permutatio
     at, schema = df.columns.index(column), df.schema
 
     def fold(texts: list[str]) -> list[str]:
-        kept, table = [], np.empty((0, permutations), dtype=np.uint64)
-        for text in (t.strip() for t in texts if t is not None):
-            if text:
-                s = signature(text, permutations, size)
-                if not len(table) or (table == s).mean(axis=1).max() < threshold:
-                    kept.append(text)
-                    table = np.vstack([table, s])
+        solid = [x for x in (t.strip() for t in texts if t is not None) if x]
+        if len(solid) < 2:
+            return solid
+        kept, table = [], np.empty((len(solid), permutations), dtype=np.uint64)
+        for text in solid:
+            s = signature(text, permutations, size)
+            if not kept or (table[: len(kept)] == s).mean(axis=1).max() < threshold:
+                table[len(kept)] = s
+                kept.append(text)
         return kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +156,7 @@ def minhash(df: DataFrame, column: str, threshold: float = THRESHOLD, permutatio
             columns = [*batch.columns[:at], pa.array(folded, pa.list_(pa.string())), *batch.columns[at + 1 :]]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
+    worker.bound()
     return df.mapInArrow(run, schema)
 
 
